@@ -59,3 +59,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names an operator's own output takes, in any case."""
     taken = {n.lower() for n in names}
     return df.drop(*(c for c in df.columns if c.lower() in taken))
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, of narrow rows, marked for broadcast if a count shows at most ``rows`` rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.llm import chat, decontam, mixing, quality
+from framequarry.llm import chat, decontam, linededup, mixing, ngramjoin, quality
 from framequarry.llm.common import cut, read
 
 
@@ -13,6 +13,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("text_hash").distinct()
@@ -33,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_decontaminate, op8_format_chats, op10_quality_rules)}
-ORACLE_SQL = {"op2_mix_sources": mixing.MIXING_SQL, "op8_format_chats": chat.CHAT_SQL}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_dedup_lines, op4_ngram_join, op6_decontaminate, op8_format_chats, op10_quality_rules)}
+ORACLE_SQL = {"op2_mix_sources": mixing.MIXING_SQL, "op3_dedup_lines": linededup.LINES_SQL, "op4_ngram_join": ngramjoin.NGRAM_SQL, "op8_format_chats": chat.CHAT_SQL}
