@@ -42,6 +42,14 @@ def repeat_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) <= WINDOW, F.lit(0)).otherwise(let(F.transform(tokens, lambda x: F.xxhash64(x)), windows))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def stratum(lang: Column) -> Column:
+    return null_key(lang)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, stratum, base columns, base_failed, one column for each rule). Null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -49,7 +57,7 @@ def features(docs: DataFrame) -> DataFrame:
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     measure = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
     count_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = docs.select("doc_id", null_key(F.col("lang")).alias("stratum"), measure.alias("m"), count_lines.alias("l"), F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"), without(SYMBOLS).cast("long").alias("n_symbols"), without(UPPER).alias("n_upper"), without("!?|;:").alias("n_marks"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("text_hash"))
+    out = docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), measure.alias("m"), count_lines.alias("l"), F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"), without(SYMBOLS).cast("long").alias("n_symbols"), without(UPPER).alias("n_upper"), without("!?|;:").alias("n_marks"), text_hash(F.col("text")).alias("text_hash"))
     share = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
     c = F.col
     out = out.select("doc_id", "text_hash", "stratum", c("m.n_words").alias("n_words"), "word_chars", "n_symbols", c("l.n_dup_lines").alias("n_dup_lines"), c("m.n_repeat_words").alias("n_repeat_words"), c("l.n").alias("n_lines"), "n_upper", "n_marks")
