@@ -1,0 +1,40 @@
+"""Windows over the global arrival order without gathering all rows in one partition: time is cut into chunks.
+
+A chunk is a fixed span of time, so a window function runs in as many tasks as there are chunks; what a row needs from beyond its
+chunk comes from rows copied over the edge (a look-back shorter than a chunk) or from a table of one row a chunk.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from framequarry.schema import seq_order
+
+
+def rolling_sum(df: DataFrame, value: Column, width_us: int, name: str) -> DataFrame:
+    """df with the sum of ``value`` over the frames of the last ``width_us`` microseconds, equal times included."""
+    rows = df.withColumn("_chunk", F.expr(f"ts_us div {width_us}")).withColumn("_v", value)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(rows.withColumn("_chunk", F.col("_chunk") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy("_chunk").orderBy("ts_us").rangeBetween(-width_us, 0)
+    return both.withColumn(name, F.sum("_v").over(w)).filter("_own").drop("_chunk", "_v", "_own")
+
+
+def next_row(df: DataFrame, column: str, name: str, chunk_us: int) -> DataFrame:
+    """df with ``column`` of the next frame in arrival order, null at the end."""
+    rows = df.withColumn("_chunk", F.expr(f"ts_us div {chunk_us}"))
+    firsts = rows.groupBy("_chunk").agg(F.min(F.struct(*seq_order(), F.col(column).alias("v"))).alias("first"))
+    after = firsts.withColumn("_next", F.lead("first").over(Window.orderBy("_chunk"))).select("_chunk", F.col("_next.v").alias("_next"))
+    inside = F.lead(column).over(Window.partitionBy("_chunk").orderBy(*seq_order()))
+    last = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("ts_us"), F.desc("frame_id"))) == 1
+    out = rows.withColumn("_in", inside).withColumn("_last", last).join(after, "_chunk")
+    return out.withColumn(name, F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_in"))).drop("_chunk", "_in", "_last", "_next")
+
+
+def numbered(df: DataFrame, chunk_us: int, name: str = "rn") -> DataFrame:
+    """df with the position of each frame in arrival order, from 1: counts of the chunks before, then a row number inside."""
+    rows = df.withColumn("_chunk", F.expr(f"ts_us div {chunk_us}"))
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(*seq_order()))
+    return rows.join(before, "_chunk").withColumn(name, F.col("_before") + inside).drop("_chunk", "_before")
