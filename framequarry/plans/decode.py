@@ -56,5 +56,5 @@ r("x04_to_raw", lambda f: f.select("frame_id", F.lit(8).alias("length"), F.lit(T
 r("x16_checksums", lambda f: f.select("frame_id", X.checksum("xor", 0, 3).alias("x"), X.checksum("sum8", 0, 3).alias("s"), X.checksum("sum8", 0, 7).alias("s8"), X.checksum_ok("xor", 4, 0, 3).alias("ok")), sql("SELECT frame_id, xor(xor(b0, b1), xor(b2, b3))::INT AS x, ((b0 + b1 + b2 + b3) % 256)::INT AS s, CASE WHEN dlc = 8 THEN (b0 + b1 + b2 + b3 + b4 + b5 + b6 + b7) % 256 ELSE 0 END::INT AS s8, dlc = 8 AS ok FROM fr"))
 r("x16_crc8", lambda f: f.select("frame_id", X.checksum("crc8_j1850", 0, 3).alias("j1850"), X.checksum("crc8_autosar", 0, 3).alias("autosar")))
 r("x17_hamming", lambda f: f.withColumn("p", F.array(*(F.lit(v).cast("short") for v in (1, 2, 3, 4, 5)))).select("frame_id", X.hamming("data", "p").alias("distance")), sql("SELECT frame_id, list_sum([bit_count(xor(coalesce(data[i], 0), coalesce(([1, 2, 3, 4, 5])[i], 0))) FOR i IN range(1, 9)])::BIGINT AS distance FROM fr"))
-r("x20_units", lambda f: f.select("frame_id", X.kph_to_mph(F.get("data", F.lit(1)).cast("double")).alias("mph"), (F.col("ts_us") / 1000).alias("ms")), sql("SELECT frame_id, round(b1 * 0.6213751::DOUBLE, 6) AS mph, round(ts_us / 1000, 6) AS ms FROM fr"))
+r("x20_units", lambda f: f.select("frame_id", X.kph_to_mph((F.get("data", F.lit(1)).cast("int") + 1).cast("double")).alias("mph"), (F.col("ts_us") / 1000).alias("ms")), sql("SELECT frame_id, round((b1 + 1) * 0.6213751::DOUBLE, 4) AS mph, round(ts_us / 1000, 4) AS ms FROM fr"), 4)
 r("x21_rule_value", lambda f: f.select("frame_id", "data", F.lit(1).alias("byte_idx"), F.lit(2).alias("byte_len"), (F.col("frame_id") % 2 == 0).alias("little_endian"), F.when(F.col("frame_id") % 3 == 0, F.lit(0x0FF0)).cast("long").alias("mask"), (F.col("frame_id") % 3 != 0).alias("is_signed"), F.lit(0.1).alias("scale"), F.lit(5.0).alias("offset")).select("frame_id", X.rule_value().alias("value")), sql("w AS (SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN b1 + 256 * b2 ELSE b1 * 256 + b2 END AS raw FROM fr) SELECT frame_id, round(CASE WHEN frame_id % 3 = 0 THEN ((raw & 4080) >> 4) WHEN raw > 32767 THEN raw - 65536 ELSE raw END * 0.1::DOUBLE + 5, 6) AS value FROM w"))
