@@ -34,7 +34,7 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     then by the smaller leaf.
 
     Iterative self-joins double the reach: after round k each node knows its ancestor 2^k up, the hops there and the score
-    between, so a tree of depth D takes log2(D) joins and every row stays of constant size. The chosen leaves then walk
+    between, so a tree of depth D takes log2(D) joins, every row stays of constant size, and a node leaves the joins once it has its root. The chosen leaves then walk
     the same tables from far to near, which meets every node of a path exactly once.
     """
     own = messages.groupBy("conv", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
@@ -42,19 +42,21 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     up = own.join(parents, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("sum"))
     up = cut(up.select("conv", "node", "up", F.col("up").isNotNull().cast("long").alias("hops"), F.coalesce("up", "node").alias("top"), "sum"))
     largest = up.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    tables = [up]
+    most, tables = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), [up]
     while 2 ** (len(tables) - 1) < largest and tables[-1].filter(F.col("up").isNotNull()).limit(1).count():
         last = tables[-1]
         far = last.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("top").alias("top2"), F.col("sum").alias("sum2"))
-        step = last.join(far, ["conv", "up"], "left")
-        tables.append(cut(step.select("conv", "node", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.coalesce("top2", "top").alias("top"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))))
+        step = last.filter(F.col("up").isNotNull()).join(far, ["conv", "up"]).select("conv", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("top2").alias("top"), (F.col("sum") + F.col("sum2")).alias("sum"))
+        tables.append(cut(step.union(last.filter(F.col("up").isNull())).coalesce(most)))
     done = tables[-1].filter(F.col("up").isNull())
     leaves = done.join(up.select("conv", F.col("up").alias("node")).filter(F.col("node").isNotNull()).distinct(), ["conv", "node"], "left_anti")
     best = Window.partitionBy("conv", "top").orderBy(F.desc("sum"), F.desc("hops"), "node")
     path = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select("conv", F.col("node").alias("leaf"), "node", F.col("hops").alias("place"))
+    path = cut(path)
     for table in reversed(tables[:-1]):
         jump = table.filter(F.col("up").isNotNull()).select("conv", "node", "up", "hops")
         path = path.join(jump, ["conv", "node"], "left").select("conv", "leaf", F.inline(F.array(F.struct("node", "place"), F.struct(F.col("up").alias("node"), (F.col("place") - F.col("hops")).alias("place"))))).filter(F.col("node").isNotNull())
+        path = cut(path)
     return path
 
 
