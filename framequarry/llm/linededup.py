@@ -11,21 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import LOWER, SPACES, UPPER, cut, small_batches, without
+from framequarry.llm.common import SPACES, cut, small_batches, without
 from framequarry.llm.shingles import U, scramble
 
-_FOLD = str.maketrans(UPPER, LOWER)
+_BLANK = SPACES.encode()
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACES).translate(_FOLD)
+def lines_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def line_hashes(lines: list[str], min_chars: int) -> np.ndarray:
-    """An (n, 2) array of the 128-bit hashes of the lines' keys; keys under ``min_chars`` code points get (0, 0)."""
-    blank = b"\0" * 16
-    keys = [line_key(x) for x in lines]
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) if len(k) >= min_chars else blank for k in keys), dtype=np.int64).reshape(-1, 2)
+def line_hashes(lines: list[bytes], min_chars: int) -> np.ndarray:
+    """An (n, 2) array of the 128-bit hashes of the lines' keys (stripped, A-Z lower-cased); keys under ``min_chars`` code points get (0, 0)."""
+    long = (lambda k: len(k) >= min_chars) if min_chars <= 1 else lambda k: len(k.decode("utf-8", "surrogatepass")) >= min_chars
+    digest, none = xxhash.xxh3_128_digest, b"\0" * 16
+    return np.frombuffer(b"".join([digest(k) if long(k) else none for k in [x.strip(_BLANK).lower() for x in lines]]), dtype=np.int64).reshape(-1, 2)
 
 
 class LineIndex:
@@ -83,7 +83,7 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     """One row for each distinct line key of each document."""
     for batch in batches:
-        found = [np.unique(h[h.any(axis=1)], axis=0) for x in batch["text"] if len(h := line_hashes((x.as_py() or "").split("\n"), min_chars))]
+        found = [np.unique(h[h.any(axis=1)], axis=0) for x in batch["text"] if len(h := line_hashes(lines_of(x.as_py()), min_chars))]
         rows = np.concatenate([np.empty((0, 2), np.int64), *found])
         yield pa.RecordBatch.from_pydict({"h1": np.ascontiguousarray(rows[:, 0]), "h2": np.ascontiguousarray(rows[:, 1])})
 
@@ -94,15 +94,15 @@ def _build(rows: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
 
-def _rewrite(text: str | None, common) -> tuple[str, int, int]:
+def _rewrite(text: str | None, common) -> tuple[bytes, int, int]:
     """The text without the lines that ``common`` (hashes to booleans) marks, its lines, and those dropped."""
-    lines = (text or "").split("\n")
+    lines = lines_of(text)
     drop = common(lines)
     kept = [x for x, d in zip(lines, drop) if not d]
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def _emit(batch: pa.RecordBatch, made: list[tuple[str, int, int]], names: list[str]) -> pa.RecordBatch:
+def _emit(batch: pa.RecordBatch, made: list[tuple[bytes, int, int]], names: list[str]) -> pa.RecordBatch:
     data = {c: batch[c] for c in names if c != "text"}
     data |= {"text": pa.array([m[0] for m in made], pa.string()), "n_lines": pa.array([m[1] for m in made], pa.int64()), "n_dropped": pa.array([m[2] for m in made], pa.int64())}
     return pa.RecordBatch.from_pydict({c: data[c] for c in [*names, "n_lines", "n_dropped"]})
@@ -112,7 +112,7 @@ def _probe_all(batches: Iterator[pa.RecordBatch], blobs, shards: int, min_docs:
     """Probes the whole index, which every executor holds."""
     index = {k: pickle.loads(v) for k, v in blobs.value.items()}
 
-    def common(lines: list[str]) -> np.ndarray:
+    def common(lines: list[bytes]) -> np.ndarray:
         hashes = line_hashes(lines, min_chars)
         out, shard = np.zeros(len(lines), dtype=bool), _shard(hashes, shards)
         for k in np.unique(shard):
@@ -129,7 +129,7 @@ def _probes(batches: Iterator[pa.RecordBatch], shards: int, min_chars: int) -> I
     for batch in batches:
         rows = [np.empty((0, 3), np.int64)]
         for slot, x in zip(batch["slot"].to_pylist(), batch["text"]):
-            hashes = line_hashes((x.as_py() or "").split("\n"), min_chars)
+            hashes = line_hashes(lines_of(x.as_py()), min_chars)
             rows.append(np.column_stack([np.full(len(hashes), slot), hashes])[hashes.any(axis=1)])
         rows = np.unique(np.concatenate(rows), axis=0)
         shard = _shard(np.ascontiguousarray(rows[:, 1:]), shards)
@@ -146,7 +146,7 @@ def _merge(batches: Iterator[pa.RecordBatch], min_chars: int, names: list[str])
     """Of rows sorted by slot with the slot's answers first, the documents without the lines answered."""
     slot, seen = None, set()
 
-    def common(lines: list[str]) -> list[bool]:
+    def common(lines: list[bytes]) -> list[bool]:
         return [tuple(h) in seen for h in line_hashes(lines, min_chars).tolist()]
 
     for batch in batches:
