@@ -81,8 +81,9 @@ def log_gamma(x: Column) -> Column:
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, p), the exact Clopper-Pearson test of "the rate is above p".
 
-    The sum runs from k downward, each term a ratio of the one before; terms past 40 standard deviations lie under the last bit of
-    a double and are left out, so its length is bounded by sqrt(n).
+    The sum runs from k downward, each term a ratio of the one before; below the mean terms fall, and those past 40 standard deviations lie
+    under the last bit of a double and are left out, so its length is bounded by sqrt(n). At or above the mean, where the tail is about a half
+    or more and no test can pass, it is given as 1.
     """
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log1p(-p))
@@ -94,7 +95,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
     rest = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * F.aggregate(rest, zero, add, lambda a: a["sum"])))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * F.aggregate(rest, zero, add, lambda a: a["sum"])))
 
 
 def certified(feats: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
