@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
+def _frame(rows: list[dict], names: list[str], kinds: list[str]) -> pd.DataFrame:
+    """Rows as pandas, with longs that may be null."""
+    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n, k in zip(names, kinds) if k == "long"})
+
+
 def run_fold(df: DataFrame, key: list[str], order: list[str], step: Step, schema: str, finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
     """``step`` over each key's rows in order. Rows are sorted inside partitions by (key, order) and streamed, so no key's rows are gathered.
 
     Null keys form one key. Rows alike in order keep the order of their other columns. An empty input gives an empty output.
     """
-    names = [s.split()[0].strip("`") for s in schema.split(", ")]
+    names, kinds = ([s.split()[i].strip("`") for s in schema.split(", ")] for i in (0, 1))
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current, fresh = {}, None, True
@@ -36,9 +41,9 @@ def run_fold(df: DataFrame, key: list[str], order: list[str], step: Step, schema
                 state, more = step(state, row)
                 out += more
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield _frame(out, names, kinds)
         if not fresh and finish and (tail := finish(state)):
-            yield pd.DataFrame(tail, columns=names)
+            yield _frame(tail, names, kinds)
 
     rest = sorted(c for c, t in df.dtypes if c not in key + order and not t.startswith(("array", "map", "struct")))
     return df.repartition(*key).sortWithinPartitions(*key, *order, *rest).mapInPandas(over, schema)
@@ -222,37 +227,46 @@ def lin_feed(dlc: int, sync: int = 0x55) -> Step:
     return step
 
 
+def head_pairs(near_us: int) -> Step:
+    """The earlier recording's frames wait as heads; a frame of the other side pairs with the first head if the identifiers agree within ``near_us``, otherwise the earlier of the two is alone. On equal times side a goes first."""
+    def alone(row: dict) -> dict:
+        a = row["side"] == "a"
+        return {"frame_a": row["frame_id"] if a else None, "frame_b": None if a else row["frame_id"], "status": "LeftOnly" if a else "RightOnly"}
+
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        wait, out = state.get("wait", []), []
+        while wait and row["ts_us"] - wait[0]["ts_us"] >= near_us:
+            out.append(alone(wait.pop(0)))
+        while wait and wait[0]["side"] != row["side"]:
+            head = wait[0]
+            if head["can_id"] == row["can_id"]:
+                a, b = (head, row) if head["side"] == "a" else (row, head)
+                same = list(a["data"]) == list(b["data"])
+                return {"wait": wait[1:]}, [*out, {"frame_a": a["frame_id"], "frame_b": b["frame_id"], "status": "Identical" if same else "Different"}]
+            if row["side"] == "a" and head["ts_us"] == row["ts_us"]:
+                return {"wait": wait}, [*out, alone(row)]
+            out.append(alone(wait.pop(0)))
+        return {"wait": [*wait, row]}, out
+
+    return step
+
+
 def merge_heads(df: DataFrame, near_us: int = 100_000) -> DataFrame:
-    """Two recordings (column side: 'a' or 'b') compared head to head: equal identifiers closer than ``near_us`` pair, otherwise the earlier head is alone on its side.
+    """Two recordings (column side: 'a' or 'b') compared head to head as head_pairs() does.
 
-    The comparison is sequential by nature. Heads further apart than ``near_us`` never pair, so the recordings part wherever no frame
-    follows for that long; such stretches are compared in parallel.
+    Frames further apart than ``near_us`` never pair, so the merge may be cut at any such pause: each day's first pause starts a stretch that
+    runs to the next one's, and stretches are compared in parallel.
     """
     from pyspark.sql import Window
 
     from framequarry.schema import seq_order
 
-    day = 86_400_000_000
-    rows = df.withColumn("_day", F.expr(f"ts_us div {day}"))
-    w = Window.partitionBy("_day").orderBy(*seq_order(), "side")
-    rows = rows.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) >= near_us).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_part", F.sum("_new").over(w))
-
-    def over(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "frame_id"])
-        a, b = (pdf[pdf["side"] == s].to_dict("records") for s in "ab")
-        out, i, j = [], 0, 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and a[i]["can_id"] == b[j]["can_id"] and abs(a[i]["ts_us"] - b[j]["ts_us"]) < near_us:
-                same = list(a[i]["data"]) == list(b[j]["data"])
-                out.append((a[i]["frame_id"], b[j]["frame_id"], "Identical" if same else "Different"))
-                i, j = i + 1, j + 1
-            elif j >= len(b) or i < len(a) and a[i]["ts_us"] <= b[j]["ts_us"]:
-                out.append((a[i]["frame_id"], None, "LeftOnly"))
-                i += 1
-            else:
-                out.append((None, b[j]["frame_id"], "RightOnly"))
-                j += 1
-        return pd.DataFrame(out, columns=["frame_a", "frame_b", "status"]).astype({"frame_a": "Int64", "frame_b": "Int64"})
-
-    return rows.groupBy("_day", "_part").applyInPandas(over, "frame_a long, frame_b long, status string")
+    rows = df.withColumn("day", F.expr("ts_us div 86400000000"))
+    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("day").orderBy(*seq_order(), "side"))
+    starts = rows.withColumn("gap", gap).groupBy("day").agg(F.min(F.when(F.col("gap") >= near_us, F.col("ts_us"))).alias("pause"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("earlier", F.last(F.when(F.col("pause").isNotNull(), F.col("day")), ignorenulls=True).over(before))
+    rows = rows.join(starts, "day").withColumn("stretch", F.when(F.col("ts_us") >= F.col("pause"), F.col("day")).otherwise(F.coalesce("earlier", F.lit(-1))))
+    finish = lambda state: [{"frame_a": r["frame_id"] if r["side"] == "a" else None, "frame_b": None if r["side"] == "a" else r["frame_id"], "status": "LeftOnly" if r["side"] == "a" else "RightOnly"} for r in state.get("wait", [])]
+    narrow = rows.select("stretch", "ts_us", "frame_id", "side", "can_id", "data")
+    return run_fold(narrow, ["stretch"], ["ts_us", "frame_id"], head_pairs(near_us), "frame_a long, frame_b long, status string", finish)
