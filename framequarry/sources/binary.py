@@ -23,6 +23,10 @@ GVRET_HEAD = b"\xf1\x00"
 LEAST_COMPRESSED = 512
 
 
+def _body(row) -> bytes:
+    return b"" if row["data"] is None else bytes(int(x) for x in row["data"])
+
+
 def decode_mcan(blob: bytes) -> list[tuple]:
     """(frame_id, None, ts_us, can_id, extended, rtr, error, fd, brs, esi, xl, dlc, data) of each whole record; a wrong magic gives none, the version isn't looked at. zstd frames are unpacked."""
     if blob[:4] == b"\x28\xb5\x2f\xfd":
@@ -51,7 +55,7 @@ def encode_mcan(rows: Iterator, head: bool = True) -> bytes:
     out = [struct.pack("<II", MCAN_MAGIC, MCAN_VERSION)] if head else []
     for r in rows:
         flags = sum(bit for name, bit in MCAN_FLAGS if r[name])
-        body = bytes(r["data"] or ())[:64]
+        body = _body(r)[:64]
         out.append(struct.pack("<QIB", r["ts_us"], r["can_id"], flags) + (struct.pack("<H", r["dlc"]) if r["xl"] else struct.pack("<B", r["dlc"])) + body.ljust(min(r["dlc"], 64), b"\0"))
     return b"".join(out)
 
@@ -61,7 +65,7 @@ def encode_pcap(rows: Iterator) -> bytes:
     out = [struct.pack("<IHHIIII", PCAP_MAGIC, 2, 4, 0, 0, PCAP_SNAPLEN, PCAP_LINKTYPE)]
     for r in rows:
         ident = r["can_id"] | (0x80000000 if r["extended"] else 0) | (0x40000000 if r["fd"] else 0)
-        body = bytes(r["data"] or ())[: min(r["dlc"], 8)]
+        body = _body(r)[: min(r["dlc"], 8)]
         out.append(struct.pack("<IIII", r["ts_us"] // 1_000_000, r["ts_us"] % 1_000_000, 16, 16) + struct.pack("<IB3x", ident, min(r["dlc"], 8)) + body.ljust(8, b"\0"))
     return b"".join(out)
 
@@ -73,7 +77,7 @@ def encode_channels(rows: Iterator) -> bytes:
     start = None
     for r in rows:
         start = r["ts_us"] if start is None else start
-        channels.setdefault(r["can_id"], []).append(struct.pack("<dd", (r["ts_us"] - start) / 1e6, float(r["data"][0]) if r["data"] else 0.0))
+        channels.setdefault(r["can_id"], []).append(struct.pack("<dd", (r["ts_us"] - start) / 1e6, float(_body(r)[0]) if _body(r) else 0.0))
     out = [block(b"IDBLOCK", b"")]
     for ident, samples in sorted(channels.items()):
         out += [block(b"CNBLOCK", f"CAN_ID_0x{ident:03x}".encode()[:32].ljust(32, b"\0")), block(b"DTBLOCK", b"".join(samples))]
