@@ -12,7 +12,11 @@ from framequarry.operators import windows as W
 from framequarry.plans.profile import HOUR, ENT, PREV
 from framequarry.plans.registry import add
 from framequarry.schema import byte_at, bytes_long, sql
+from framequarry.functions import extend as E
 from framequarry.sources import binary as B
+from framequarry.sources import documents as J
+from framequarry.streaming import folds as S
+from framequarry.streaming import runtime as R
 
 
 def series(f: DataFrame) -> DataFrame:
@@ -52,3 +56,19 @@ SELECT can_id, role || '_' || byte_idx AS sig_name, byte_idx * 8 AS start_bit, C
 add("k04_pcap_files", lambda f: B.session_digests(f, B.encode_pcap).drop("sha256"), sql("SELECT session_id, 24 + 32 * count(*) AS size FROM fr GROUP BY session_id"))
 add("k05_mcan_files", lambda f: B.session_digests(f).drop("sha256"), sql("SELECT session_id, (8 + 14 * count(*) + sum(dlc))::BIGINT AS size FROM fr GROUP BY session_id"))
 add("s03_mcan_round_trip", lambda f: B.session_files(f).select(F.posexplode(F.udf(lambda c: [(r[2], r[3], r[11]) for r in B.decode_mcan(bytes(c))], "array<struct<ts_us: long, can_id: long, dlc: long>>")("content")).alias("pos", "r")).select("r.*"), sql("SELECT ts_us, can_id, dlc FROM fr"))
+add("k15_model_json", lambda f: J.model_json(L.linear_models(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double")))))
+add("k18_training_rows", lambda f: J.training_rows(P.flag_bits(f, 0.3), f.select("can_id").distinct().select("can_id", F.lit(1).alias("byte_idx"), F.lit(0.5).alias("scale"), F.lit(-2.0).alias("offset"))))
+add("k10_publish_messages", lambda f: J.publish_messages(S.run_fold(f.select("frame_id", "can_id", "ts_us", byte_at(1).cast("double").alias("value")), ["can_id"], ["ts_us", "frame_id"], S.dead_band(50.0), "can_id long, ts_us long, value double")))
+add("s15_synthetic_traffic", lambda f: P.byte_role(J.synthetic_frames(f.sparkSession, 7, 4000)))
+add("t16_observer", lambda f: R.merge_observed(R.observe(f.filter("session_id = 0")), R.observe(f.filter("session_id = 1"))), sql("SELECT can_id, byte_idx, bit_or(byte_val) AS seen1, bit_or(255 - byte_val) AS seen0, count(*) AS samples FROM by_ GROUP BY ALL"))
+
+
+def _echo(host, can_id, data, ts) -> None:
+    if can_id == 260 and data[0] == 3:
+        host.send_frame(can_id + 1, data[:2])
+    if can_id == 261 and len(data) < 8:
+        host.log(f"short {len(data)}")
+
+
+add("e01_frame_script", lambda f: E.on_frame(f, _echo).select("frame_id", "kind", "out_id", "text"), sql("SELECT frame_id, 'frame' AS kind, 261::BIGINT AS out_id, NULL::VARCHAR AS text FROM fr WHERE can_id = 260 AND b0 = 3 UNION ALL SELECT frame_id, 'log', NULL, 'short ' || dlc FROM fr WHERE can_id = 261 AND dlc < 8"))
+add("q10_tools_get_ids", lambda f: E.Tools(f).call("get_ids"), sql("SELECT can_id, count(*) AS frames, max(ts_us) AS last_us FROM fr GROUP BY can_id"))
