@@ -64,7 +64,7 @@ def request_response(df: DataFrame, low_us: int = 10_000, high_us: int = 150_000
 
     Frames are joined on buckets of ``high_us``; the global position, from counts of time chunks, keeps the look-back at ``depth`` frames.
     """
-    from framequarry.plans.ordered import numbered
+    from framequarry.operators.ordered import numbered
 
     rows = numbered(df, chunk_us or max(high_us, 1_000_000)).select("rn", "ts_us", "can_id")
     b = F.floor(F.col("ts_us") / high_us)

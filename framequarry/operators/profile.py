@@ -56,16 +56,21 @@ def byte_profile(df: DataFrame) -> DataFrame:
     return out.join(n, "can_id").select("can_id", "byte_idx", "min_val", "max_val", (F.col("total") / F.col("frames")).alias("avg_val"))
 
 
+def arrival() -> Window:
+    """Each identifier's frames as they arrived, also where their times run back."""
+    return Window.partitionBy("can_id").orderBy("frame_id")
+
+
 def kept_intervals(df: DataFrame) -> DataFrame:
     """Frames whose time is above all earlier ones of the identifier, with the interval to the one before (A02's drop rule)."""
-    before = per_id().rowsBetween(Window.unboundedPreceding, -1)
+    before = arrival().rowsBetween(Window.unboundedPreceding, -1)
     kept = df.withColumn("high", F.max("ts_us").over(before)).filter(F.col("high").isNull() | (F.col("ts_us") > F.col("high")))
-    return kept.withColumn("iv", F.col("ts_us") - F.lag("ts_us").over(per_id()))
+    return kept.withColumn("iv", F.col("ts_us") - F.lag("ts_us").over(arrival()))
 
 
 def interval_stats(df: DataFrame) -> DataFrame:
     """Mean, sample deviation, bounds, gaps (over three times the running mean before) and whether the identifier is periodic."""
-    running = F.avg("iv").over(per_id().rowsBetween(Window.unboundedPreceding, -1))
+    running = F.avg("iv").over(arrival().rowsBetween(Window.unboundedPreceding, -1))
     rows = kept_intervals(df).withColumn("gap", F.coalesce((F.col("iv") > 3 * running).cast("long"), F.lit(0)))
     out = rows.groupBy("can_id").agg(
         F.count("iv").alias("intervals"), zero(F.avg("iv") / 1e6).alias("mean_s"), zero(F.stddev_samp(F.col("iv") / 1e6)).alias("sd_s"),

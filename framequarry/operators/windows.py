@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.operators.profile import error_class, frame_bits, per_id, ratio, zero
-from framequarry.plans.ordered import next_row, numbered, rolling_sum
+from framequarry.operators.ordered import next_row, numbered, rolling_sum
 from framequarry.schema import bytes_long, seq_order
 
 

@@ -199,6 +199,7 @@ class McanSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(McanSource)
 
 
