@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import cut, small_batches
+from framequarry.llm.common import cut, small_batches, small_side
 
 #: n-grams of 1 to 3 letters, with one blank for whatever separates words; n-grams a profile; characters hashed at a time.
 PROFILE, _CHUNK = 400, 1 << 20
@@ -71,7 +71,8 @@ def learn(docs: DataFrame, sample: int = 2000) -> dict[str, np.ndarray]:
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    rates = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
+    # One row a language: small_side() sends it to the texts, which are filtered where they are read.
+    rates = small_side(cut(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))))
     taken = rows.join(rates, "lang").filter(hashed_share(F.coalesce(F.col("doc_id"), F.lit(0))) < F.col("rate")).select("lang", "text")
     grams = taken.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
