@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import cut, let
+from framequarry.llm.common import cut, let, small_side
 
 #: Token offsets that each mask reads; the offsets between them may differ.
 MASKS = ((0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 3, 5, 6, 7, 8))
@@ -55,7 +55,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share:
         table = F.broadcast(table)
     hits = masked(own, "doc_id", "text_hash").join(table, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = cut(hits)
-    texts = own.join(hits.select("doc_id", "text_hash").distinct().withColumnRenamed("doc_id", "hit_id"), "text_hash", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc"))
+    texts = own.join(small_side(hits.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc"))
     h, t = hits.alias("h"), texts.alias("t")
     pairs = h.join(t, (F.col("h.text_hash") == F.col("t.text_hash")) & F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))).select("h.*", "t.doc")
     pairs = pairs.join(items.select("item_id", tokens(F.col("text")).alias("item")), pairs["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
@@ -67,5 +67,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that contaminated() doesn't name, all columns as they are."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad = small_side(cut(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_hash")), "left_anti")
