@@ -12,11 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import LOWER, UPPER, cut, small_batches, small_side
+from framequarry.llm.common import cut, small_batches, small_side
 
 #: A unit ends at a line's end or at a full stop, question or exclamation mark before white space.
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-_FOLD = str.maketrans(UPPER, LOWER)
 _UNIT_COLUMNS = "doc_id long, text_hash long, unit long, start long, stop long, n_words long, again boolean, h1 long, h2 long"
 
 
@@ -27,10 +26,10 @@ def units(text: str | None, min_words: int) -> list[tuple[int, int, int, bool, b
     """
     out, seen = [], Counter()
     for m in _UNIT.finditer(text or ""):
-        tokens = m[0].translate(_FOLD).split()
+        tokens = m[0].split()
         if len(tokens) >= min_words:
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            key = xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+            key = xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass").lower())
             out.append((start, m.start() + len(m[0].rstrip()), len(tokens), seen[key] > 0, key))
             seen[key] += 1
     return out
