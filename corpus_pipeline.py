@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import decontam, linededup, mixing, ngramjoin, quality
-from framequarry.llm.common import read, shared_dir
+from framequarry.llm.common import cut, read, shared_dir, small_side
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go. Rows alike in doc_id, text and lang share their verdict."""
     judged = quality.judge(docs, read(spark, sf_dir, "labels")).filter("NOT kept")
-    bad = judged.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("stratum").alias("bad_stratum")).distinct()
+    bad = small_side(cut(judged.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("stratum").alias("bad_stratum")).distinct()))
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (quality.text_hash(docs["text"]) == F.col("bad_hash")) & (quality.stratum(docs["lang"]) == F.col("bad_stratum"))
     return docs.join(bad, same, "left_anti")
 
@@ -33,8 +33,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one of smallest doc_id; of repeated rows with that doc_id one."""
     joined = ngramjoin.join(docs)
-    stay = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(small_side(cut(gone)), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    again = left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
+    return _first_of_equal_ids(left, small_side(cut(again)))
+
+
+def _first_of_equal_ids(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without repeats of a row: of rows alike in doc_id and text one stays. Only doc_ids that occur twice are looked at."""
+    twice = docs["doc_id"].eqNullSafe(F.col("again_id"))
+    return docs.join(again, twice, "left_anti").unionByName(docs.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
