@@ -12,6 +12,7 @@ shingles) before sorted arrays are intersected.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,14 +46,14 @@ def tile_keys(s: np.ndarray, percent: int = 80) -> np.ndarray:
     if not n:
         return s.view(np.int64)
     all_bands = bands(percent)
-    own = next(i for i, b in enumerate(all_bands) if n <= b[1])
+    own = bisect_left(all_bands, n, key=lambda b: b[1])
     mixed = scramble(s)
     for i in (own, own - 1):
         if i < 0 or (i < own and n > all_bands[i][1] * 100 // percent):
             continue
         _, _, d, k = all_bands[i]
         tag = U((i + 1) * 0x632BE59BD9B4E019 % (1 << 64))
-        part = (scramble(s ^ tag) % U(k)).astype(np.int64)
+        part = (mixed % U(k)).view(np.int64)
         sums = np.zeros(k, dtype=np.uint64)
         np.add.at(sums, part, mixed)
         full = np.bincount(part, minlength=k) > 0
@@ -84,15 +85,16 @@ def linked(n: int, m: int, shared: int, percent: int) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], percent: int, what: str, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key_id, text_hash, n, cls) and, by ``what``, the tiles or the bitmap and array of each text."""
+    """By ``what``: "sizes" gives (key_id, text_hash, n, cls) of each text, "tiles" (cls, tiles), "arrays" the sizes with bitmap and array."""
     for batch in batches:
         rows = [shingle_set(x.as_py(), width) for x in batch["text"]]
-        data = {"key_id": batch["key_id"], "text_hash": batch["text_hash"], "n": pa.array([len(s) for s in rows], pa.int64()), "cls": pa.array([digest(s) for s in rows], pa.int64())}
+        classes = pa.array([digest(s) for s in rows], pa.int64())
+        data = {"key_id": batch["key_id"], "text_hash": batch["text_hash"], "n": pa.array([len(s) for s in rows], pa.int64()), "cls": classes}
         if what == "tiles":
             keys = [tile_keys(s, percent) for s in rows]
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            data = {"cls": data["cls"], "tiles": pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *keys]))}
-        if what == "arrays":
+            data = {"cls": classes, "tiles": pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *keys]))}
+        elif what == "arrays":
             data |= {"bits": pa.array([bitmap(s).tobytes() for s in rows], pa.binary()), "set": pa.array([s.tobytes() for s in rows], pa.binary())}
         yield pa.RecordBatch.from_pydict(data)
 
@@ -120,35 +122,47 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"tile": np.array([held_t]), "cls": np.array([held_c])})
 
 
+def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps allow a link."""
+    for batch in batches:
+        keep = []
+        for i, (n, m, a, b) in enumerate(zip(*(batch[c] for c in ("n_a", "n_b", "bits_a", "bits_b")))):
+            n, m = n.as_py(), m.as_py()
+            if linked(n, m, overlap_bound(n, np.frombuffer(a.as_buffer(), np.uint8), m, np.frombuffer(b.as_buffer(), np.uint8)), percent):
+                keep.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sorted arrays share enough."""
     for batch in batches:
         keep = []
-        for i, (bits_a, bits_b, set_a, set_b) in enumerate(zip(*(batch[c] for c in ("bits_a", "bits_b", "set_a", "set_b")))):
+        for i, (set_a, set_b) in enumerate(zip(batch["set_a"], batch["set_b"])):
             a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (set_a, set_b))
-            most = overlap_bound(len(a), np.frombuffer(bits_a.as_buffer(), np.uint8), len(b), np.frombuffer(bits_b.as_buffer(), np.uint8))
-            if linked(len(a), len(b), most, percent) and linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent):
+            if linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def _block_pairs(rows, percent: int):
-    """Within one block of a tile (or two), the pairs across components that the bitmaps allow."""
+    """Within one block of a tile (or two), the pairs across components that sizes and bitmaps allow."""
     import pandas as pd
 
-    bits = [np.frombuffer(x, dtype=np.uint8) for x in rows["bits"]]
+    raw = [np.frombuffer(x, dtype=np.uint8) for x in rows["bits"]]
+    width = min(map(len, raw))
+    bits = np.vstack([np.bitwise_or.reduce(x.reshape(-1, width), axis=0) for x in raw])
     n, comp, cls, blk = (rows[c].to_numpy() for c in ("n", "comp", "cls", "block"))
-    lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-    out = []
-    order = np.argsort(n, kind="stable")
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if 100 * n[i] < percent * n[j]:
-                break
-            if comp[i] == comp[j] or (lo != hi and blk[i] == blk[j]):
-                continue
-            if linked(n[i], n[j], overlap_bound(n[i], bits[i], n[j], bits[j]), percent):
-                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    apart = rows["lo"].iloc[0] != rows["hi"].iloc[0]
+    out = [np.empty((0, 2), dtype=np.int64)]
+    for i in range(len(n) - 1):
+        m = n[i + 1 :]
+        most = np.minimum(np.minimum(n[i], m), (n[i] + m - np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2)
+        fits = (100 * most >= percent * (n[i] + m - most)) & (comp[i + 1 :] != comp[i])
+        if apart:
+            fits &= blk[i + 1 :] != blk[i]
+        other = cls[i + 1 :][fits]
+        out.append(np.column_stack([np.minimum(other, cls[i]), np.maximum(other, cls[i])]))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,13 +179,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024) -> DataFrame:
+def verified_none(spark) -> DataFrame:
+    return spark.createDataFrame([], "a long, b long")
+
+
+def join(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2, tries: int = 2, pairwise: int = 32, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): a row for each row of ``docs``, in components of shingle-set Jaccard >= percent / 100.
 
     component_id is the smallest doc_id reachable over links, the document's own included; links counts the other classes
     (distinct shingle sets) that the document was verified against and found linked, enough to hold its component together.
-    Candidate pairs are compared leader-first: each tile's pairs with its least class, then with its greatest, then whatever
-    pairs still join different components, in blocks of ``block`` classes a side. Pairs inside a component need no check, so a group of g near
+    Candidate pairs are compared leader-first, in ``rounds``: each tile is led by its first class in an order by chance (a hash), and a class meets up to ``tries`` leaders of its
+    tiles; tiles whose classes have all met in one component leave. All pairs that still join different components are then compared: tiles of up to
+    ``pairwise`` classes by a join, larger ones in blocks of ``block`` classes a side. Pairs inside a component need no check, so a group of g near
     copies costs about g comparisons, and no pair that could change a component is left out.
 
     Null, empty or wordless text: n_shingles 0, linked with nothing (component_id is the doc_id). Null doc_id: kept as a row,
@@ -183,34 +202,51 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024)
     base = "key_id long, text_hash long, n long, cls long"
     rows = cut(source.mapInArrow(lambda it: _sets(it, percent, "sizes", width), base))
     tiles = source.mapInArrow(lambda it: _sets(it, percent, "tiles", width), "cls long, tiles array<long>").select("cls", F.explode("tiles").alias("tile"))
-    members = cut(tiles.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(_shared_tiles, "tile long, cls long"))
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "cls")
+    members = cut(tiles.mapInArrow(_shared_tiles, "tile long, cls long"))
 
-    wanted = rows.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text_hash").alias("text_hash"))
-    picked = source.join(small_side(wanted.select("text_hash").distinct()), "text_hash", "left_semi")
+    wanted = cut(rows.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text_hash").alias("text_hash")))
+    wanted = small_side(wanted.withColumnRenamed("cls", "want"))
+    picked = source.join(wanted.select("text_hash"), "text_hash", "left_semi")
     arrays = picked.mapInArrow(lambda it: _sets(it, percent, "arrays", width), f"{base}, bits binary, set binary")
-    sets = cut(arrays.join(wanted.withColumnRenamed("cls", "want"), "text_hash").filter("cls = want").dropDuplicates(["cls"]).select("cls", "n", "bits", "set"))
+    sets = cut(arrays.join(wanted, "text_hash").filter("cls = want").dropDuplicates(["cls"]).select("cls", "n", "bits", "set"))
+
+    def side(columns: list[str], name: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a"), F.col("set").alias("set_a"))
-        b = sets.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b"), F.col("set").alias("set_b"))
-        return cut(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
-
-    links, found, left = None, None, members.withColumn("comp", F.col("cls"))
-    tile = Window.partitionBy("tile")
-    for leader in (F.min, F.max):
-        led = left.withColumn("lead", leader(F.struct("cls", "comp")).over(tile)).filter("lead.comp <> comp")
-        new = verified(led.select(F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct())
-        links = new if links is None else cut(links.union(new).distinct())
-        found = components(links)
-        left = left.select("tile", "cls").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        left = left.select("*", (F.min("comp").over(tile) != F.max("comp").over(tile)).alias("open"), F.count(F.lit(1)).over(tile).alias("size"))
-        left = cut(left.filter("open AND size > 2").select("tile", "cls", "comp"))
-    if left.limit(1).count():
-        sized = left.join(sets.select("cls", "n", "bits"), "cls").withColumn("blocks", F.ceil(F.count(F.lit(1)).over(tile) / block).cast("int"))
-        sized = sized.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        pairs = spread.select("tile", "lo", "hi", "block", "cls", "comp", "n", "bits").groupBy("tile", "lo", "hi").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "a long, b long").distinct()
-        links = cut(links.union(verified(pairs)).distinct())
+        fits = pairs.join(side(["n", "bits"], "a"), "a").join(side(["n", "bits"], "b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
+        fits = cut(fits)
+        theirs = side(["set"], "b").join(small_side(fits.select("b").distinct()), "b", "left_semi")
+        return cut(side(["set"], "a").join(small_side(fits), "a").join(theirs, "b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
+
+    links, left = verified_none(docs.sparkSession), members.withColumn("comp", F.col("cls"))
+    found = links.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    tile, own = Window.partitionBy("tile"), Window.partitionBy("cls")
+    for turn in range(rounds):
+        chance = F.xxhash64("cls", F.lit(turn))  # one order for all tiles, so that links form stars
+        led = left.withColumn("lead", F.min(F.struct(chance.alias("h"), "cls", "comp")).over(tile)).filter("lead.comp <> comp").select("cls", F.col("lead.cls").alias("lead")).distinct()
+        led = led.withColumn("r", F.row_number().over(own.orderBy(F.xxhash64("lead", "cls"), "lead"))).filter(F.col("r") <= tries)
+        new = verified(led.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct())
+        if new.limit(1).count():
+            links = cut(links.union(new).distinct())
+            found = components(links)
+            left = left.select("tile", "cls").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            left = cut(left.withColumn("open", F.min("comp").over(tile) != F.max("comp").over(tile)).filter("open").select("tile", "cls", "comp"))
+    slim = sets.select("cls", "n", "bits")
+    sized = left.withColumn("size", F.count(F.lit(1)).over(tile))
+    small, large = sized.filter(F.col("size") <= pairwise), sized.filter(F.col("size") > pairwise)
+    other = small.select("tile", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = small.join(other, "tile").filter((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select(F.col("cls").alias("a"), "b").distinct()
+    if large.limit(1).count():
+        blocks = large.join(slim, "cls").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        far = spread.select("tile", "lo", "hi", "block", "cls", "comp", "n", "bits").groupBy("tile", "lo", "hi").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "a long, b long")
+        pairs = pairs.union(far).distinct()
+    new = verified(pairs)
+    if new.limit(1).count():
+        links = cut(links.union(new).distinct())
         found = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))

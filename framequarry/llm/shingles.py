@@ -6,11 +6,17 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-_CHUNK, _LONG = 1 << 22, 1 << 16
+_CHUNK, _BASE = 1 << 18, 0x9E3779B97F4A7C15
 _BYTES = np.arange(256)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) + U(1)
-_POWERS = np.cumprod(np.full(_LONG, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n - 1, base, dtype=np.uint64))))
+
+
+_UP, _DOWN = _powers(_BASE, _CHUNK), _powers(pow(_BASE, -1, 1 << 64), _CHUNK)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -23,19 +29,18 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def _hashes(data: bytes) -> np.ndarray:
+    """Word hashes as differences of one running polynomial sum, shifted back to the word's start by the base's inverse."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
+    space = np.ones(len(raw) + 2, dtype=bool)
+    space[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    if not len(edges):
         return np.empty(0, dtype=np.uint64)
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else np.concatenate((np.zeros(starts[0], dtype=np.int64), np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))))
-    value = _LOWER[raw] * _POWERS[np.minimum(place, _LONG - 1)]
-    value[space] = 0
-    sums = np.add.reduceat(value, starts)
-    for i in np.flatnonzero(ends - starts >= _LONG):
-        sums[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].lower())
-    return scramble(sums + (ends - starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+    up, down = (_UP, _DOWN) if len(raw) <= _CHUNK else (_powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 1 << 64), len(raw)))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_LOWER[raw] * up[: len(raw)], out=sums[1:])
+    starts, ends = edges[::2], edges[1::2]
+    return scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -59,10 +64,15 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     if not len(w):
         return w
     take = min(width, len(w))
-    mixed = np.full(len(w) - take + 1, take, dtype=np.uint64)
-    for j in range(take):
-        mixed = scramble(mixed * U(0x9FB21C651E98DF25) + w[j : len(w) - take + 1 + j])
-    return np.unique(mixed)
+    n = len(w) - take + 1
+    mixed = w[:n] + U(take)
+    for j in range(1, take):
+        mixed = mixed * U(0x9FB21C651E98DF25) + w[j : n + j]
+    mixed = scramble(mixed)
+    mixed.sort()
+    new = np.ones(n, dtype=bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=new[1:])
+    return mixed[new]
 
 
 def digest(shingles: np.ndarray) -> int:
