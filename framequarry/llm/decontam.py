@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.llm.common import cut, let, small_side
 
-#: Token offsets that each mask reads; the offsets between them may differ.
-MASKS = ((0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 3, 5, 6, 7, 8))
-SPAN = 1 + max(m[-1] for m in MASKS)
+#: Mask pairs, heaviest first where they hold: token offsets that each mask reads; the offsets between them may differ.
+FAMILIES = (
+    ((0, 1, 6, 7, 9), (0, 4, 6, 11, 12)),
+    ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
+    ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+    ((0, 1, 2, 3), (0, 1, 2, 4)),
+    ((0, 1, 2, 3), (0, 1, 3, 4)),
+    ((0, 1, 2), (0, 1, 3)),
+)
+#: Letters of scripts written without blanks (Thai, Lao, Myanmar, Khmer, Han, kana): each is a token of its own.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\x{20000}-\x{3FFFF}]"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; none of null."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of letters and digits, and single letters of scripts without blanks; none of null."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when((F.octet_length(lower) > F.length(lower)) & lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    return F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
+
+
+def least_equal(size: int, share: float) -> int:
+    """How many of ``size`` aligned tokens must be equal."""
+    return math.ceil(share * size - 1e-9)
+
+
+def covers(masks: tuple[tuple[int, ...], ...], size: int, equal: int) -> bool:
+    """Whether every choice of size - equal differing tokens in a window leaves a place where some mask reads equal tokens only."""
+    places = [frozenset(at + o for o in m) for m in masks for at in range(size - m[-1])]
+    return all(any(p.isdisjoint(other) for p in places) for other in combinations(range(size), size - equal))
 
 
-def seeds(text: Column) -> Column:
-    """array<array<long>>: for each mask the hash at every token position, null where the mask runs past the end."""
+@cache
+def masks_for(size: int, equal: int) -> tuple[tuple[int, ...], ...]:
+    """Masks that miss no window of ``size`` tokens of which ``equal`` agree: a family, proven by enumeration, else the longest run that must be equal."""
+    if size <= 16:
+        for family in FAMILIES:
+            if covers(family, size, equal):
+                return family
+    return (tuple(range(max(1, -(-equal // (size - equal + 1))))),)
+
+
+def seeds(text: Column, masks: list[tuple[int, ...]], window: int = 0, sizes: dict | None = None) -> Column:
+    """array<array<long>>: for each mask the hash at every token position, null where the mask runs past the end.
+
+    With ``sizes`` a mask is read only in texts whose token count, ``window`` at most, is among the mask's sizes.
+    """
 
     def of(h: Column) -> Column:
-        one = lambda m, mask: F.transform(h, lambda x, i: F.when(i + mask[-1] < F.size(h), F.xxhash64(F.lit(m), x, *(F.get(h, i + o) for o in mask[1:]))))
-        return F.array(*(one(m, mask) for m, mask in enumerate(MASKS)))
+        def one(m: int, mask: tuple[int, ...]) -> Column:
+            each = F.transform(h, lambda x, i: F.when(i + mask[-1] < F.size(h), F.xxhash64(F.lit(m), x, *(F.get(h, i + o) for o in mask[1:]))))
+            return each if sizes is None else F.when(F.least(F.lit(window), F.size(h)).isin(*sizes[mask]), each).otherwise(F.array().cast("array<bigint>"))
+
+        return F.array(*(one(m, mask) for m, mask in enumerate(masks)))
 
     return let(F.transform(tokens(text), lambda x: F.xxhash64(x)), of)
 
@@ -43,17 +84,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share:
     row shows the best alignment of the pair, the earliest of equals.
 
     The seed table of the benchmark is broadcast only if it has at most ``broadcast_rows`` rows; beyond that the same
-    join shuffles. Items of fewer tokens than the widest mask spans can't be seeded by it; those under the narrow mask's span match nothing.
+    join shuffles. The masks come from the sizes of the benchmark's items and miss no allowed pattern, so every pair that counts is found; items of
+    one to four tokens (at this share) must stand whole. Items without tokens match nothing.
     Null or empty texts match nothing. Documents are told apart by doc_id and text, so a repeated row is one document.
     Null doc_id is kept as null. Empty tables: no rows. Other columns are ignored.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    masked = lambda df, *keys: df.select(*keys, F.explode(seeds(F.col("text"))).alias("s")).select(*keys, F.posexplode("s").alias("at", "seed")).filter(F.col("seed").isNotNull())
-    table = cut(masked(items, "item_id").groupBy("seed", "item_id", "at").agg(F.count(F.lit(1)).alias("n")).select("seed", "item_id", F.col("at").alias("item_at")))
+    sizes: dict[tuple[int, ...], list[int]] = {}
+    for (n,) in items.select(F.least(F.lit(window), F.size(tokens(F.col("text")))).alias("n")).filter("n > 0").distinct().collect():
+        for mask in masks_for(n, least_equal(n, share)):
+            sizes.setdefault(mask, []).append(n)
+    sizes = sizes or {(0,): [1]}
+    masks = sorted(sizes)
+    masked = lambda df, how, *keys: df.select(*keys, F.explode(seeds(F.col("text"), masks, *how)).alias("s")).select(*keys, F.posexplode("s").alias("at", "seed")).filter(F.col("seed").isNotNull())
+    table = cut(masked(items, (window, sizes), "item_id").groupBy("seed", "item_id", "at").agg(F.count(F.lit(1)).alias("n")).select("seed", "item_id", F.col("at").alias("item_at")))
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         table = F.broadcast(table)
-    hits = masked(own, "doc_id", "text_hash").join(table, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = masked(own, (), "doc_id", "text_hash").join(table, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = cut(hits)
     texts = own.join(small_side(hits.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc"))
     h, t = hits.alias("h"), texts.alias("t")
