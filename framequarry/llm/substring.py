@@ -1,4 +1,9 @@
-"""Substring dedup by hashing of lines cut at sentence ends; earliest occurrences stay, original offsets are retained."""
+"""Substring dedup by hashing of lines cut at sentence ends and of word windows; earliest occurrences stay, original offsets are retained.
+
+Sentences find runs of repeated units, word windows find what repeats from mid-sentence to mid-sentence. A window's anchor is the least
+hash of its short grams, so equal windows have equal anchors, and only windows whose anchor is found twice are looked at.
+Neighbouring windows of one anchor travel as a segment.
+"""
 
 from __future__ import annotations
 
@@ -13,25 +18,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.llm.common import cut, small_batches, small_side
+from framequarry.llm.shingles import U, scramble, word_hashes
 
 #: A unit ends at a line's end or at a full stop, question or exclamation mark before white space.
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-_UNIT_COLUMNS = "doc_id long, text_hash long, unit long, start long, stop long, n_words long, again boolean, h1 long, h2 long"
+_UNIT_COLUMNS = "doc_id long, text_hash long, unit long, start long, stop long, n_words long, word long, again boolean, h1 long, h2 long"
+#: White space of other kinds than blank and U+0009 to U+000D.
+_ODD_SPACE = re.compile(r"[^\S\t-\r ]")
+_WORD = re.compile(r"\S+")
+_SEGMENT_COLUMNS = "doc_id long, text_hash long, anchor long, seg long, word long, wins array<long>, again array<boolean>, starts array<long>, stops array<long>"
+#: Words of an anchor's gram.
+GRAM = 8
 
 
-def units(text: str | None, min_words: int) -> list[tuple[int, int, int, bool, bytes]]:
-    """(start, stop, words, seen before in this text, digest) of each unit of at least ``min_words`` words, offsets in code points.
+def units(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bool, bytes]]:
+    """(start, stop, words, words before it, seen before in this text, digest) of each unit of at least ``min_words`` words, offsets in code points.
 
     The digest is of the unit's words, A-Z lower-cased, joined by single blanks.
     """
-    out, seen = [], Counter()
+    out, seen, before = [], Counter(), 0
     for m in _UNIT.finditer(text or ""):
         tokens = m[0].split()
         if len(tokens) >= min_words:
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             key = xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass").lower())
-            out.append((start, m.start() + len(m[0].rstrip()), len(tokens), seen[key] > 0, key))
+            out.append((start, m.start() + len(m[0].rstrip()), len(tokens), before, seen[key] > 0, key))
             seen[key] += 1
+        before += len(tokens)
     return out
 
 
@@ -42,25 +55,112 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int, short: bool) -> It
         for doc, text_hash, text in zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"]):
             found = units(text.as_py(), min_words)
             if short:
-                times = Counter(u[4] for u in found)
-                found = [(0, 0, 0, n > 1, k) for k, n in times.items()]
+                times = Counter(u[5] for u in found)
+                found = [(0, 0, 0, 0, n > 1, k) for k, n in times.items()]
             rows += [(i, *u) for i, u in enumerate(found)]
             ids += [doc] * len(found)
             hashes += [text_hash] * len(found)
-        digests = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.int64).reshape(-1, 2)
-        data = {"doc_id": pa.array(ids, pa.int64()), "again": pa.array([r[4] for r in rows], pa.bool_()), "h1": np.ascontiguousarray(digests[:, 0]), "h2": np.ascontiguousarray(digests[:, 1])}
+        digests = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.int64).reshape(-1, 2)
+        data = {"doc_id": pa.array(ids, pa.int64()), "again": pa.array([r[5] for r in rows], pa.bool_()), "h1": np.ascontiguousarray(digests[:, 0]), "h2": np.ascontiguousarray(digests[:, 1])}
         if not short:
-            data |= {"text_hash": pa.array(hashes, pa.int64())} | {c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("unit", "start", "stop", "n_words"))}
+            data |= {"text_hash": pa.array(hashes, pa.int64())} | {c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("unit", "start", "stop", "n_words", "word"))}
         yield pa.RecordBatch.from_pydict({c.split()[0]: data[c.split()[0]] for c in _UNIT_COLUMNS.split(", ") if c.split()[0] in data})
 
 
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbouring words, put together from grams of powers of two."""
+    out, width, power, span = None, 0, h, 1
+    while True:
+        if size & span:
+            out = power if out is None else scramble(out[: len(h) - width - span + 1] * U(0x9E3779B97F4A7C15) + power[width:])
+            width += span
+        if span * 2 > size:
+            return out
+        power, span = scramble(power[:-span] * U(0xD6E8FEB86659FD93) + power[span:]), span * 2
+
+
+def anchors(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, gram hashes, and for each window of ``size`` words the place of its anchor."""
+    h = word_hashes(_ODD_SPACE.sub(" ", text or ""))
+    if len(h) < size:
+        return h, h[:0], np.empty(0, np.int64)
+    g = grams(h, min(GRAM, size))
+    views = np.lib.stride_tricks.sliding_window_view(g, size - min(GRAM, size) + 1)
+    return h, g, np.concatenate([views[i : i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(views))) for i in range(0, len(views), 4096)])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct anchors with a mark if it has one at two places."""
+    for batch in batches:
+        ids, out, twice = [], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            _, g, at = anchors(text.as_py(), size)
+            found, times = np.unique(g[np.unique(at)], return_counts=True)
+            ids += [doc] * len(found)
+            out.append(found)
+            twice.append(times > 1)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "anchor": np.concatenate(out).view(np.int64), "again": np.concatenate(twice)})
+
+
+def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of each text the segments: window hashes, marks of windows that stand earlier in it without overlap, offsets of windows."""
+    for batch in batches:
+        held, many = [], 0
+        for doc, text_hash, text in zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"]):
+            text = text.as_py()
+            h, g, at = anchors(text, size)
+            if not len(at):
+                continue
+            wins = grams(h, size)
+            _, first, inverse = np.unique(wins, return_index=True, return_inverse=True)
+            again = first[inverse] + size <= np.arange(len(wins))
+            place = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            offsets = np.append(begin, len(wins)).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
+            data = {"doc_id": pa.array([doc] * len(begin), pa.int64()), "text_hash": pa.array([text_hash] * len(begin), pa.int64()), "anchor": g[at[begin]].view(np.int64)}
+            data |= {"seg": (np.add.reduceat(scramble(wins), begin)).view(np.int64), "word": begin, "wins": listed(wins.view(np.int64)), "again": listed(again)}
+            held.append(pa.RecordBatch.from_pydict(data | {"starts": listed(place[: len(wins), 0]), "stops": listed(place[size - 1 :, 1])}))
+            many += len(wins)
+            if many > 100_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, many = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def repeated_windows(own: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_hash, start, stop, word, n_words, first): word spans whose every window of ``size`` words stands earlier.
+
+    Segments equal to one of an earlier document are settled whole; windows are compared one by one only where one anchor has
+    different segments, at the ends of passages. Keys are counted with partial sums, as those of units are.
+    """
+    last, key = F.lit((1 << 63) - 1), ["doc_id", "text_hash"]
+    each = own.mapInArrow(lambda it: _anchors(it, size), "doc_id long, anchor long, again boolean").withColumn("rank", F.coalesce("doc_id", last))
+    known = each.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("again").cast("int")).alias("twice"))
+    known = cut(known.filter("low < high OR twice = 1").select("anchor"))
+    segments = cut(own.mapInArrow(lambda it: _segments(it, size), _SEGMENT_COLUMNS).join(small_side(known), "anchor").withColumn("rank", F.coalesce("doc_id", last)))
+    firsts = cut(segments.groupBy("anchor", "seg").agg(F.min("rank").alias("first"), F.max("rank").alias("high")))
+    later = segments.join(small_side(firsts.filter("first < high").select("anchor", "seg", "first")), ["anchor", "seg"], "left").withColumn("first", F.coalesce("first", "rank"))
+    whole = later.filter("rank > first").select(*key, F.get("starts", F.lit(0)).alias("start"), F.element_at("stops", -1).alias("stop"), "word", (F.size("wins") + size - 1).cast("long").alias("n_words"), "first")
+
+    unlike = cut(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    ends = later.filter("rank = first").join(small_side(unlike.withColumn("mixed", F.lit(True))), "anchor", "left").filter("mixed OR array_contains(again, true)")
+    ends = cut(ends.select(*key, "rank", "word", F.posexplode(F.arrays_zip("wins", "again", "starts", "stops")).alias("i", "x")).select(*key, "rank", (F.col("word") + F.col("i")).alias("word"), F.lit(size).cast("long").alias("n_words"), "x.*"))
+    earlier = cut(ends.groupBy("wins").agg(F.min("rank").alias("first"), F.max("rank").alias("high")).filter("first < high").select("wins", "first"))
+    single = ends.join(small_side(earlier), "wins", "left").filter("again OR rank > first")
+    single = single.select(*key, F.col("starts").alias("start"), F.col("stops").alias("stop"), "word", "n_words", F.least("rank", "first").alias("first"))
+    return whole.unionByName(single)
+
+
 def repeated_spans(docs: DataFrame, min_unit: int = 4, min_run: int = 30) -> DataFrame:
     """(doc_id, text_hash, start, stop, n_words, first_doc_id): the passages to remove, in offsets of the original text.
 
     Units are lines, cut further after sentence ends, so a passage set inside a line is found too. A unit that also stands
     earlier (documents rank by doc_id, inside a document by place) is a repeat; its first occurrence stays. Neighbouring repeats,
-    with units under ``min_unit`` words between them, form a run; runs of at least ``min_run`` words are the passages.
-    first_doc_id is the smallest of the documents that keep the run's units.
+    with units under ``min_unit`` words between them, form a run; runs of at least ``min_run`` words are passages. So is any
+    run of ``min_run`` words or more that stands earlier word by word, wherever in its sentences it starts and ends; passages that
+    overlap or touch in words are one. n_words counts all its words, first_doc_id is the smallest of the documents found to hold a part of it earlier.
 
     Only digests found in two documents or twice in one are joined back, and they are counted before that with partial sums, so a unit that
     a third of all documents share costs one row a map task, and no group of its occurrences is gathered. Null, empty or all-short texts: no
@@ -77,8 +177,14 @@ def repeated_spans(docs: DataFrame, min_unit: int = 4, min_run: int = 30) -> Dat
     repeats = spread.filter(F.col("again") | (F.coalesce("doc_id", last) > F.col("first"))).dropDuplicates(["doc_id", "text_hash", "unit"])
     document = Window.partitionBy("doc_id", "text_hash")
     runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(document.orderBy("unit")))
-    spans = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min("first").alias("first"))
-    return spans.filter(F.col("n_words") >= min_run).select("doc_id", "text_hash", "start", "stop", "n_words", F.when(F.col("first") < last, F.col("first")).alias("first_doc_id"))
+    spans = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("end"), F.sum("n_words").alias("n_words"), F.min("first").alias("first"))
+    spans = spans.filter(F.col("n_words") >= min_run).drop("run", "n_words")
+    windows = repeated_windows(own, min_run).withColumn("end", F.col("word") + F.col("n_words")).drop("n_words")
+    placed = document.orderBy("word", "end")
+    every = spans.unionByName(windows).withColumn("reach", F.max("end").over(placed.rowsBetween(Window.unboundedPreceding, -1)))
+    every = every.withColumn("passage", F.sum(F.when(F.col("word") <= F.col("reach"), 0).otherwise(1)).over(placed.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = every.groupBy("doc_id", "text_hash", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("word")).alias("n_words"), F.min("first").alias("first"))
+    return merged.select("doc_id", "text_hash", "start", "stop", "n_words", F.when(F.col("first") < last, F.col("first")).alias("first_doc_id"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

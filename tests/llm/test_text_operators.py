@@ -314,6 +314,17 @@ def test_substring_removal(spark):
     assert substring.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_substrings_that_start_and_end_inside_sentences(spark):
+    w = [f"{x}{i}{'.' if i % 11 == 10 else ''}" for i, x in enumerate(WORDS * 4)]
+    passage = w[5:62]
+    other = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    texts = {1: other("a", 40) + passage + other("b", 9), 2: other("c", 3) + [x.upper() for x in passage] + other("d", 50), 3: other("e", 8) + passage[:29] + other("f", 8), 4: other("g", 35) + ["x."] + passage[10:45] + other("h", 4), 5: other("i", 33) + other("j", 4) + other("i", 33), 6: ["go"] * 100}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (" ".join(texts[r["doc_id"]])[r["start"] : r["stop"]], r["n_words"], r["first_doc_id"]) for r in substring.repeated_spans(df).collect()}
+    want = {2: (" ".join(passage).upper(), 57, 1), 4: (" ".join(passage[10:45]), 35, 1), 5: (" ".join(other("i", 33)), 33, 5), 6: (" ".join(["go"] * 70), 70, 6)}
+    assert got == want
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
