@@ -31,10 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of smallest doc_id; of repeated rows with that doc_id one."""
-    joined = ngramjoin.join(docs)
-    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(small_side(cut(gone)), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """One row of each component stays: the smallest doc_id (null last), of its texts one. Rows are told apart by doc_id and text."""
+    rows = cut(ngramjoin.join(docs, keys=True).filter("n_shingles > 0").select("doc_id", "text_hash", "component"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    groups = rows.groupBy("component").agg(F.min(order).alias("best"), F.max(order).alias("other")).filter("NOT best <=> other")
+    gone = rows.join(small_side(cut(groups.select("component", "best.text_hash"))).withColumnRenamed("text_hash", "stays"), "component").filter("text_hash <> stays")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    left = docs.join(small_side(cut(gone)), docs["doc_id"].eqNullSafe(F.col("gone_id")) & (ngramjoin.row_hash(docs) == F.col("gone_hash")), "left_anti")
     again = left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
     return _first_of_equal_ids(left, small_side(cut(again)))
 

@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.llm.common import cut, small_batches, small_side
@@ -183,7 +183,12 @@ def verified_none(spark) -> DataFrame:
     return spark.createDataFrame([], "a long, b long")
 
 
-def join(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2, tries: int = 2, pairwise: int = 32, block: int = 1024) -> DataFrame:
+def row_hash(docs: DataFrame) -> Column:
+    """A key of a row's text and doc_id."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["doc_id"])
+
+
+def join(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2, tries: int = 2, pairwise: int = 32, block: int = 1024, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): a row for each row of ``docs``, in components of shingle-set Jaccard >= percent / 100.
 
     component_id is the smallest doc_id reachable over links, the document's own included; links counts the other classes
@@ -195,10 +200,11 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2, tr
 
     Null, empty or wordless text: n_shingles 0, linked with nothing (component_id is the doc_id). Null doc_id: kept as a row,
     its component takes the smallest non-null doc_id, null if it has none. Repeated rows or texts: one class. Empty table: no rows. Other columns are
-    ignored. Shingles, parts and classes are compared by 64-bit hashes.
+    ignored. Shingles, parts and classes are compared by 64-bit hashes. With ``keys`` two columns more: text_hash as row_hash() gives it, and
+    component, which names the component also where doc_ids are null or repeated (null for n_shingles 0).
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").alias("key_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text_hash"), "text")
+    source = docs.select(F.col("doc_id").alias("key_id"), row_hash(docs).alias("text_hash"), "text")
     base = "key_id long, text_hash long, n long, cls long"
     rows = cut(source.mapInArrow(lambda it: _sets(it, percent, "sizes", width), base))
     tiles = source.mapInArrow(lambda it: _sets(it, percent, "tiles", width), "cls long, tiles array<long>").select("cls", F.explode("tiles").alias("tile"))
@@ -252,9 +258,9 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2, tr
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("key_id").alias("least"))
     classes = classes.join(found, "cls", "left").join(degree, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    named = classes.join(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id", "links")
+    named = classes.join(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "comp", "component_id", "links")
     out = rows.join(named.withColumn("some", F.lit(True)), (rows["cls"] == named["cls"]) & (rows["n"] > 0), "left")
-    return out.select(F.col("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("key_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(F.col("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("key_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), *([F.col("text_hash"), F.col("comp").alias("component")] if keys else []))
 
 
 NGRAM_SQL = r"""

@@ -388,5 +388,19 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in P.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontaminate", "mix_sources"]
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    near = lambda text: " ".join(["changed", *text.split()[1:]])
+    a, b, c, d = (sentence(k, 50) for k in (11, 12, 13, 14))
+    rows = [(None, near(a)), (1, a), (None, b), (None, sentence(15, 50)), (2, near(c)), (2, sentence(16, 50)), (1, c), (None, d), (None, near(d)), (7, sentence(18, 50)), (7, near(sentence(18, 50))), (7, near(sentence(18, 50)))]
+    out = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    for text in (a, c):
+        assert (1, text) in out
+    for row in ((None, b), (None, sentence(15, 50)), (2, sentence(16, 50))):
+        assert row in out
+    assert len([r for r in out if r[1] in (d, near(d))]) == 1 and len([r for r in out if r[0] == 7]) == 1 and len(out) == 7
+
+
 def test_sha_of_kept_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
