@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -22,6 +22,10 @@ GOOD_TAGS = frozenset("article main".split())
 # What class, id and role names say.
 BAD_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|alert|banner|complementary|breadcrumbs?|comments?|consent|contentinfo|cookies?|copyright|disqus|footer|form|header|legal|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ ])")
 GOOD_NAMES = re.compile(r"(?:^|[-_ ])(?:article|body|content|entry|main|post|story|text)(?:$|[-_ ])")
+#: Names that tell how an element looks or what stands in it, and headers of content.
+_STATE_NAMES = re.compile(r"(?:^|(?<= ))(?:(?:has|with|no|without|is)-\S+|\S+-(?:enabled|disabled|fixed|open|closed)|(?:article|content|entry|main|post|story)[-_]header)(?= |$)")
+#: Elements that names say nothing bad about.
+ROOT_TAGS = frozenset("html body main article".split())
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
@@ -35,6 +39,7 @@ class Block:
     tag: str
     bad: bool
     good: bool
+    named: tuple[int, ...] = ()
 
 
 class _Reader(HTMLParser):
@@ -42,7 +47,7 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.open, self.pieces, self.linked, self.serial = [], [("", 0, False, False, False)], [], 0, 0
+        self.blocks, self.open, self.pieces, self.linked, self.serial = [], [("", 0, False, False, False, ())], [], 0, 0
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.pieces)).strip()
@@ -50,7 +55,7 @@ class _Reader(HTMLParser):
             node = next((x for x in reversed(self.open) if x[0] in BLOCK_TAGS or not x[0]), self.open[0])
             outer = [x for x in self.open if x[0] in BLOCK_TAGS or not x[0]]
             parent = outer[-2][1] if len(outer) > 1 else 0
-            self.blocks.append(Block(text, min(self.linked, len(text)), parent, node[0], self.open[-1][2], self.open[-1][3]))
+            self.blocks.append(Block(text, min(self.linked, len(text)), parent, node[0], self.open[-1][2], self.open[-1][3], self.open[-1][5]))
         self.pieces, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -68,9 +73,10 @@ class _Reader(HTMLParser):
         self.serial += 1
         names = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
         above = self.open[-1]
-        bad = above[2] or tag in BAD_TAGS and not (tag == "header" and above[3]) or bool(names and BAD_NAMES.search(names))
+        bad = above[2] or tag in BAD_TAGS and not (tag == "header" and above[3])
+        named = above[5] + (self.serial,) if tag not in ROOT_TAGS and names and BAD_NAMES.search(_STATE_NAMES.sub("", names)) else above[5]
         good = above[3] or tag in GOOD_TAGS or bool(names and GOOD_NAMES.search(names))
-        self.open.append((tag, self.serial, bad, good, above[4] or tag in HIDDEN_TAGS))
+        self.open.append((tag, self.serial, bad, good, above[4] or tag in HIDDEN_TAGS, named))
 
     def leave(self, tag: str, until: frozenset):
         """Closes the innermost open ``tag`` with all inside it, unless an element of ``until`` stands between."""
@@ -99,17 +105,34 @@ class _Reader(HTMLParser):
 
 
 def blocks_of(html: str | None) -> list[Block]:
+    """The page's blocks; ``named`` holds the elements with boilerplate names around it, but for those that hold over half of the text outside boilerplate tags, and of the text in content elements if there are any."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.flush()
+    plain = [b for b in reader.blocks if not b.bad]
+    best = [b for b in plain if b.good]
+
+    def most(blocks: list[Block]) -> set[int]:
+        held: Counter[int] = Counter()
+        for b in blocks:
+            held.update(dict.fromkeys(b.named, len(b.text)))
+        return {e for e, n in held.items() if 2 * n > sum(len(b.text) for b in blocks)}
+
+    spared = (most(plain) & most(best) if best else most(plain)) if len(plain) > 1 else set()
+    for b in reader.blocks:
+        b.named = tuple(e for e in b.named if e not in spared)
     return reader.blocks
 
 
+#: What a boilerplate name costs: more than a block can earn alone, less than its neighbours together can outvote.
+NAMED = 9
+
+
 def costs(block: Block) -> tuple[int, int]:
     """What it costs to call the block boilerplate and to call it content: a linear classifier over where and how it stands.
 
-    Integers, so that cuts are exact. Inside a boilerplate element outweighs all else; link density, length, sentence marks
+    Integers, so that cuts are exact. A boilerplate tag outweighs all else, a boilerplate name what the block itself says; link density, length, sentence marks
     and headline tags decide in the open.
     """
     words = block.text.count(" ") + 1
@@ -118,7 +141,7 @@ def costs(block: Block) -> tuple[int, int]:
     score += 1 if re.search(r"[.!?:;,\"”»](?:\s|$)", block.text) else -0.5
     score += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.5, "h2": 0.5, "h3": 0.5, "li": -0.5, "td": -0.5}.get(block.tag, 0.0)
     score += 4 if block.good else 0
-    score -= 20 if block.bad else 0
+    score -= 20 if block.bad else NAMED if block.named else 0
     return (round(100 * max(score, 0)), round(100 * max(-score, 0)))
 
 

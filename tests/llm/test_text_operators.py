@@ -197,6 +197,14 @@ def test_html_main_text():
     assert htmlextract.main_text(None) == "" and htmlextract.main_text("") == "" and htmlextract.main_text("<nav>menu</nav>") == ""
 
 
+def test_html_names_of_layout_do_not_lose_the_page():
+    lines = ["A headline of the page", "First paragraph with plenty of words in it, enough to be read as content here.", "Second one also has plenty of words, so that it stays where it is, too."]
+    body = f"<h1 class='entry-header'>{lines[0]}</h1><p>{lines[1]}</p><p>{lines[2]}</p>"
+    extra = "<div class='sidebar'><a href=1>Other</a> <a href=2>links</a></div><div class='cookie-notice'>We use cookies. Accept all of them now, please.</div>"
+    for page in (f"<body class='has-sidebar'>{body}{extra}", f"<html class='nav-open'><body class='header-fixed'>{body}{extra}", f"<div class='content with-nav'>{body}</div>{extra}", f"<article class='post share-enabled'>{body}</article>{extra}", f"<div class='nav-wrap widget'>{body}</div>{extra}", f"<article><div class='article-header'><h1>{lines[0]}</h1></div><p>{lines[1]}</p><p>{lines[2]}</p></article>{extra}"):
+        assert htmlextract.main_text(page) == "\n".join(lines), page
+
+
 def test_minimum_cut_against_all_labellings():
     import itertools
     import random
