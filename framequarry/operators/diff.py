@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.operators.profile import per_id, ratio
-from framequarry.schema import bytes_long, seq_order
+from framequarry.operators.ordered import numbered, position, previous
+from framequarry.operators.profile import ratio
+from framequarry.schema import bytes_long
 
 
 def byte_summary(df: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def recording_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_by_id(a: DataFrame, b: DataFrame) -> DataFrame:
     """The k-th frame of an identifier on either side: Identical, Different, LeftOnly or RightOnly; diff_bytes counts bytes that differ, a missing byte reads 0xFF."""
-    side = lambda df, n: df.select("can_id", F.row_number().over(per_id()).cast("long").alias("k"), F.col("data").alias(f"data_{n}"), F.col("dlc").alias(f"dlc_{n}"), F.col("frame_id").alias(f"frame_{n}"))
+    side = lambda df, n: position(df, "k").select("can_id", "k", F.col("data").alias(f"data_{n}"), F.col("dlc").alias(f"dlc_{n}"), F.col("frame_id").alias(f"frame_{n}"))
     j = side(a, "a").join(side(b, "b"), ["can_id", "k"], "full_outer")
     at = lambda c, i: F.coalesce(F.get(c, i).cast("int"), F.lit(255))
     n = F.greatest(F.size("data_a"), F.size("data_b"))
@@ -62,12 +63,10 @@ def interval_join(df: DataFrame, points: DataFrame, before_us: int, after_us: in
 def request_response(df: DataFrame, low_us: int = 10_000, high_us: int = 150_000, depth: int = 50, least: int = 5, chunk_us: int | None = None) -> DataFrame:
     """Pairs of identifiers where one follows the other within [low, high] among the last ``depth`` frames, at least ``least`` times.
 
-    Frames are joined on buckets of ``high_us``; the global position, from counts of time chunks, keeps the look-back at ``depth`` frames.
+    Frames are joined on buckets of ``depth`` positions in the global order, from counts of time chunks, so a frame meets at most twice as many whatever the bus's density.
     """
-    from framequarry.operators.ordered import numbered
-
     rows = numbered(df, chunk_us or max(high_us, 1_000_000)).select("rn", "ts_us", "can_id")
-    b = F.floor(F.col("ts_us") / high_us)
+    b = F.expr(f"rn div {depth}")
     later = rows.select(F.col("rn").alias("rn2"), F.col("ts_us").alias("ts2"), F.col("can_id").alias("resp_id"), F.explode(F.array(b, b - 1)).alias("b"))
     pairs = rows.withColumn("b", b).join(later, "b").filter((F.col("can_id") != F.col("resp_id")) & F.col("rn2").between(F.col("rn") + 1, F.col("rn") + depth) & (F.col("ts2") - F.col("ts_us")).between(low_us, high_us))
     return pairs.groupBy(F.col("can_id").alias("req_id"), "resp_id").agg(F.count(F.lit(1)).alias("hits"), (F.avg(F.col("ts2") - F.col("ts_us")) / 1000).alias("latency_ms")).filter(F.col("hits") >= least)
@@ -113,20 +112,20 @@ def edit_recording(df: DataFrame, edits: DataFrame, skips: DataFrame) -> DataFra
 def match_nodes(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """The reply frames of simulated nodes (node, trig_id, id_mask, trig_data array, data_mask array, resp_id, resp_data array, delay_us).
 
-    A node answers when the identifier agrees under its mask and the payload begins with its bytes under theirs. The node table is small, so the
-    masked comparison is a broadcast join.
+    A node answers when the identifier agrees under its mask and the payload begins with its bytes under theirs. No key is equal there, so each frame meets each
+    node; Spark broadcasts the nodes if their size allows.
     """
     at = lambda c, i: F.coalesce(F.get(c, i).cast("int"), F.lit(0))
     prefix = F.forall(F.sequence(F.lit(0), F.size("trig_data")), lambda i: (i >= F.size("trig_data")) | ((i < F.size("data")) & (at("data", i).bitwiseAND(at("data_mask", i)) == at("trig_data", i).bitwiseAND(at("data_mask", i)))))
     hit = F.col("can_id").bitwiseAND(F.col("id_mask")) == F.col("trig_id").bitwiseAND(F.col("id_mask"))
-    j = df.join(F.broadcast(nodes), hit & prefix)
+    j = df.join(nodes, hit & prefix)
     return j.select("frame_id", "node", F.col("resp_id").alias("can_id"), (F.col("ts_us") + F.col("delay_us")).alias("ts_us"), F.col("resp_data").alias("data"))
 
 
 def dictionary_overlap(cells: DataFrame, signals: DataFrame) -> DataFrame:
     """(can_id, byte_idx) cells with the first signal whose bits touch the byte."""
     s = signals.select(F.col("msg_id").alias("can_id"), "sig_name", F.expr("start_bit div 8").alias("lo"), F.expr("(start_bit + length + 7) div 8").alias("hi"), "start_bit")
-    j = cells.join(F.broadcast(s), "can_id", "left").withColumn("sig_name", F.when((F.col("byte_idx") >= F.col("lo")) & (F.col("byte_idx") < F.col("hi")), F.col("sig_name")))
+    j = cells.join(s, "can_id", "left").withColumn("sig_name", F.when((F.col("byte_idx") >= F.col("lo")) & (F.col("byte_idx") < F.col("hi")), F.col("sig_name")))
     return j.groupBy("can_id", "byte_idx").agg(F.min(F.when(F.col("sig_name").isNotNull(), F.struct("start_bit", "sig_name"))).alias("s")).select("can_id", "byte_idx", F.col("s.sig_name").alias("sig_name"))
 
 
@@ -179,5 +178,5 @@ def buffer_limits(trials: DataFrame) -> DataFrame:
 
 def auto_events(df: DataFrame, value: Column, threshold: float) -> DataFrame:
     """Frames where the value jumps by more than ``threshold`` from the identifier's frame before."""
-    rows = df.withColumn("value", value.cast("double")).withColumn("prev", F.lag("value").over(Window.partitionBy("can_id").orderBy(*seq_order())))
+    rows = previous(df.withColumn("value", value.cast("double")), {"prev": "value"})
     return rows.filter(F.abs(F.col("value") - F.col("prev")) > threshold)

@@ -1,24 +1,17 @@
-"""Per-identifier profiles: counts, intervals, bits, bytes, errors, roles, features. All are grouped aggregates with map-side partial sums."""
+"""Per-identifier profiles: counts, intervals, bits, bytes, errors, roles, features. All are grouped aggregates with map-side partial sums; steps to the frame before are taken in chunks of time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.schema import bytes_long, seq_order
+from framequarry.operators.ordered import by_arrival, carried, previous
+from framequarry.schema import bytes_long
 
 #: Error classes by bit of the identifier of an error frame, first match wins.
 ERROR_BITS = (("TxTimeout", 0x001), ("LostArbitration", 0x002), ("Controller", 0x004), ("Protocol", 0x008), ("Transceiver", 0x010), ("Ack", 0x020), ("BusOff", 0x040), ("BusError", 0x080), ("Restarted", 0x100))
 
 
-def per_id() -> Window:
-    return Window.partitionBy("can_id").orderBy(*seq_order())
-
-
-def per_byte() -> Window:
-    return Window.partitionBy("can_id", "byte_idx").orderBy(*seq_order())
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -39,8 +32,7 @@ def frame_bits() -> Column:
 
 def id_profile(df: DataFrame) -> DataFrame:
     """Count, times, intervals (negative ones count 0) and flags of each identifier."""
-    gap = F.greatest(F.lit(0), F.col("ts_us") - F.lag("ts_us").over(per_id()))
-    rows = df.withColumn("gap", F.when(F.lag("ts_us").over(per_id()).isNotNull(), gap))
+    rows = previous(df, {"prev_us": "ts_us"}).withColumn("gap", F.when(F.col("prev_us").isNotNull(), F.greatest(F.lit(0), F.col("ts_us") - F.col("prev_us"))))
     out = rows.groupBy("can_id").agg(
         F.count(F.lit(1)).alias("frames"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.coalesce(F.min("gap") / 1e6, F.lit(0.0)).alias("min_gap_s"), F.coalesce(F.max("gap") / 1e6, F.lit(0.0)).alias("max_gap_s"), F.coalesce(F.avg("gap") / 1e6, F.lit(0.0)).alias("avg_gap_s"),
@@ -57,21 +49,24 @@ def byte_profile(df: DataFrame) -> DataFrame:
 
 
 def arrival() -> Window:
-    """Each identifier's frames as they arrived, also where their times run back."""
-    return Window.partitionBy("can_id").orderBy("frame_id")
+    """Each identifier's frames before one in a chunk as they arrived, also where their times run back."""
+    return Window.partitionBy("can_id", "_chunk").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def kept_intervals(df: DataFrame) -> DataFrame:
-    """Frames whose time is above all earlier ones of the identifier, with the interval to the one before (A02's drop rule)."""
-    before = arrival().rowsBetween(Window.unboundedPreceding, -1)
-    kept = df.withColumn("high", F.max("ts_us").over(before)).filter(F.col("high").isNull() | (F.col("ts_us") > F.col("high")))
-    return kept.withColumn("iv", F.col("ts_us") - F.lag("ts_us").over(arrival()))
+    """Frames whose time is above all earlier ones of the identifier, with the interval to the one before (A02's drop rule): times rise there, so that is the greatest so far."""
+    rows = carried(df, ["can_id"], {"_high": (F.max("ts_us"), F.max)}, by_arrival())
+    high = F.greatest(F.max("ts_us").over(arrival()), F.col("_high"))  # null only where both are
+    kept = rows.withColumn("high", high).filter(F.col("high").isNull() | (F.col("ts_us") > F.col("high")))
+    return kept.select(*df.columns, (F.col("ts_us") - F.col("high")).alias("iv"))
 
 
 def interval_stats(df: DataFrame) -> DataFrame:
     """Mean, sample deviation, bounds, gaps (over three times the running mean before) and whether the identifier is periodic."""
-    running = F.avg("iv").over(arrival().rowsBetween(Window.unboundedPreceding, -1))
-    rows = kept_intervals(df).withColumn("gap", F.coalesce((F.col("iv") > 3 * running).cast("long"), F.lit(0)))
+    rows = carried(kept_intervals(df), ["can_id"], {"_sum": (F.sum("iv"), F.sum), "_n": (F.count("iv"), F.sum)}, by_arrival())
+    so_far = lambda fold, name: F.coalesce(fold("iv").over(arrival()), F.lit(0)) + F.coalesce(name, F.lit(0))
+    running = so_far(F.sum, "_sum") / F.nullif(so_far(F.count, "_n"), F.lit(0))
+    rows = rows.withColumn("gap", F.coalesce((F.col("iv") > 3 * running).cast("long"), F.lit(0)))
     out = rows.groupBy("can_id").agg(
         F.count("iv").alias("intervals"), zero(F.avg("iv") / 1e6).alias("mean_s"), zero(F.stddev_samp(F.col("iv") / 1e6)).alias("sd_s"),
         F.coalesce(F.min("iv") / 1e6, F.lit(0.0)).alias("min_s"), F.coalesce(F.max("iv") / 1e6, F.lit(0.0)).alias("max_s"), F.sum("gap").alias("gaps"),
@@ -124,7 +119,7 @@ def byte_entropy(df: DataFrame) -> DataFrame:
 
 def byte_steps(df: DataFrame) -> DataFrame:
     """Bytes with the value before in the same position of the same identifier."""
-    return bytes_long(df).withColumn("prev", F.lag("byte_val").over(per_byte()))
+    return previous(bytes_long(df), {"prev": "byte_val"}, ["can_id", "byte_idx"])
 
 
 def counter_share(df: DataFrame) -> DataFrame:
@@ -141,10 +136,13 @@ def checksum_share(df: DataFrame) -> DataFrame:
 
 
 def median_period(df: DataFrame) -> DataFrame:
-    """A10: the upper median of the intervals of each identifier in milliseconds, by rank and not by gathering them."""
-    iv = df.withColumn("iv", F.col("ts_us") - F.lag("ts_us").over(per_id())).filter("iv is not null")
-    ranked = iv.withColumn("r", F.row_number().over(Window.partitionBy("can_id").orderBy("iv"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("can_id")))
-    return ranked.filter("r = n div 2 + 1").select("can_id", (F.col("iv") / 1000).alias("period_ms"))
+    """A10: the upper median of the intervals of each identifier in milliseconds, by counts of equal intervals summed in chunks of their length and not by gathering them."""
+    iv = previous(df, {"prev_us": "ts_us"}).select("can_id", (F.col("ts_us") - F.col("prev_us")).alias("iv")).filter("iv is not null")
+    counts = iv.groupBy("can_id", "iv").agg(F.count(F.lit(1)).alias("n"))
+    rows = carried(counts, ["can_id"], {"_below": (F.sum("n"), F.sum)}, F.expr("iv div 1000000"))
+    inside = Window.partitionBy("can_id", "_chunk").orderBy("iv").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("n").over(inside) + F.coalesce("_below", F.lit(0))).join(counts.groupBy("can_id").agg(F.sum("n").alias("of")), "can_id")
+    return rows.filter("of div 2 + 1 BETWEEN upto - n + 1 AND upto").select("can_id", (F.col("iv") / 1000).alias("period_ms"))
 
 
 def flag_bits(df: DataFrame, jump_share: float = 0.5) -> DataFrame:
@@ -203,7 +201,7 @@ def bit_features(df: DataFrame) -> DataFrame:
 
 def signal_features(df: DataFrame, max_raw: float = 255.0) -> DataFrame:
     """Seven features of each byte as a signal: distinct values, dwell, oscillation, mean step, deviation, range and greatest step over max_raw."""
-    rows = byte_steps(df).withColumn("d", F.col("byte_val") - F.col("prev")).withColumn("d0", F.lag("d").over(per_byte()))
+    rows = previous(byte_steps(df).withColumn("d", F.col("byte_val") - F.col("prev")), {"d0": "d"}, ["can_id", "byte_idx"])
     return rows.groupBy("can_id", "byte_idx").agg(
         ratio(F.countDistinct("byte_val").cast("double"), F.count(F.lit(1))).alias("distinct_share"), ratio(F.count_if(F.col("d") == 0).cast("double"), F.count("d")).alias("dwell"),
         ratio(F.count_if(F.col("d") * F.col("d0") < 0).cast("double"), F.count("d0")).alias("oscillation"), zero(F.avg(F.abs("d"))  / max_raw).alias("mean_step"),

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.operators.profile import error_class, frame_bits, per_id, ratio, zero
-from framequarry.operators.ordered import next_row, numbered, rolling_sum
-from framequarry.schema import bytes_long, seq_order
+from framequarry.operators.ordered import carried, following, next_row, numbered, position, previous, rolling_sum
+from framequarry.operators.profile import error_class, frame_bits, ratio, zero
+from framequarry.schema import seq_order
 
 
 def delta(df: DataFrame) -> DataFrame:
     """Microseconds to the frame before of the same identifier, 0 for the first and for times that don't rise."""
-    return df.withColumn("delta_us", F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("ts_us") - F.lag("ts_us").over(per_id()), F.lit(0).cast("long"))))
+    return previous(df, {"prev_us": "ts_us"}).withColumn("delta_us", F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("ts_us") - F.col("prev_us"), F.lit(0).cast("long")))).drop("prev_us")
 
 
 def changed_mask(df: DataFrame) -> DataFrame:
     """A bit for each byte that differs from the frame before of the same identifier; a byte that one of them lacks counts as 0."""
-    prev = F.lag("data").over(per_id())
-    rows = df.withColumn("prev", prev)
+    rows = previous(df, {"prev": "data"})
     bit = lambda x, i: F.when(F.coalesce(x, F.lit(0).cast("short")) != F.coalesce(F.get("prev", i), F.lit(0).cast("short")), F.expr("cast(1 as bigint)")).otherwise(F.lit(0).cast("long"))
     bits = F.transform(F.sequence(F.lit(0), F.greatest(F.size("data"), F.size("prev")) - 1), lambda i: F.call_function("shiftleft", bit(F.get("data", i), i), i))
     return rows.withColumn("changed_mask", F.when(F.col("prev").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))).drop("prev")
@@ -26,7 +25,7 @@ def changed_mask(df: DataFrame) -> DataFrame:
 
 def bursts(df: DataFrame, limit_us: int = 1000) -> DataFrame:
     """Frames under ``limit_us`` after the one before of the same identifier."""
-    return delta(df).withColumn("burst", F.lag("ts_us").over(per_id()).isNotNull() & (F.col("delta_us") < limit_us))
+    return previous(df, {"prev_us": "ts_us"}).withColumn("burst", F.col("prev_us").isNotNull() & (F.greatest(F.lit(0), F.col("ts_us") - F.col("prev_us")) < limit_us)).drop("prev_us")
 
 
 def bus_load(df: DataFrame, window_us: int = 1_000_000, baud: int = 500_000) -> DataFrame:
@@ -73,15 +72,17 @@ def counter_check(df: DataFrame, can_id: int, byte_idx: int, modulus: int = 256,
     raw = F.get("data", F.lit(byte_idx)).cast("int")
     value = F.shiftright(raw, 4) if upper_nibble else raw
     rows = rows.withColumn("value", F.pmod(value, F.lit(modulus)))
-    prev = F.last("value", ignorenulls=True).over(per_id().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("prev", prev)
+    seen = F.max(F.when(F.col("value").isNotNull(), F.struct(*seq_order(), "value")))
+    rows = carried(rows, ["can_id"], {"_seen": (seen, lambda c: F.last(c, ignorenulls=True))})
+    inside = F.last("value", ignorenulls=True).over(Window.partitionBy("can_id", "_chunk").orderBy(*seq_order()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("prev", F.coalesce(inside, F.col("_seen.value"))).drop("_chunk", "_seen")
     state = F.when(F.col("value").isNull(), "OutOfRange").when(F.col("prev").isNull(), "Skip").when(F.col("value") == (F.col("prev") + 1) % modulus, "Ok").otherwise("Mismatch")
     return rows.withColumn("result", state)
 
 
 def rate_anomalies(df: DataFrame, percent: float) -> DataFrame:
     """The baseline is the rate over the first 16 frames of an identifier; from frame 18 on, the interval before the last must not stray from it by more than ``percent``."""
-    rows = df.withColumn("rn", F.row_number().over(per_id())).withColumn("t1", F.lag("ts_us", 1).over(per_id())).withColumn("t2", F.lag("ts_us", 2).over(per_id()))
+    rows = position(previous(previous(df, {"t1": "ts_us"}), {"t2": "t1"}))
     base = rows.filter("rn BETWEEN 2 AND 16").groupBy("can_id").agg((1e6 / F.avg(F.col("ts_us") - F.col("t1"))).alias("base_hz"))
     out = rows.filter("rn >= 18 AND t1 > t2").join(base, "can_id").withColumn("hz", 1e6 / (F.col("t1") - F.col("t2")))
     return out.withColumn("off_percent", F.abs(F.col("hz") - F.col("base_hz")) / F.col("base_hz") * 100).filter(F.col("off_percent") > percent)
@@ -115,11 +116,13 @@ def timeline(df: DataFrame, ids: int = 16, events: int = 500) -> DataFrame:
     return df.join(F.broadcast(top), "can_id").withColumn("age", F.row_number().over(back)).filter(F.col("age") <= events)
 
 
-def fps_bursts(df: DataFrame, tick_us: int = 500_000, depth: int = 20) -> DataFrame:
-    """Ticks whose count is above mean + 3 deviations of the ``depth`` ticks before."""
+def fps_bursts(df: DataFrame, tick_us: int = 500_000, depth: int = 20, stretch: int = 4096) -> DataFrame:
+    """Ticks whose count is above mean + 3 deviations of the ``depth`` ticks before. Ticks are numbered and looked at in stretches, each with the last ``depth`` ticks of the one before."""
     ticks = df.groupBy(F.expr(f"ts_us div {tick_us}").alias("tick")).agg(F.count(F.lit(1)).alias("frames"))
-    back = Window.orderBy("tick").rowsBetween(-depth, -1)
-    out = ticks.withColumn("mean_frames", F.avg("frames").over(back)).withColumn("sd_frames", F.stddev_pop("frames").over(back))
+    rows = numbered(ticks.withColumn("ts_us", F.col("tick")).withColumn("frame_id", F.col("tick")), stretch, "_at").drop("ts_us", "frame_id").withColumn("_of", F.expr(f"(_at - 1) div {stretch}")).withColumn("_own", F.lit(True))
+    edge = rows.filter((F.col("_at") - 1) % stretch >= stretch - depth).withColumn("_of", F.col("_of") + 1).withColumn("_own", F.lit(False))
+    back = Window.partitionBy("_of").orderBy("tick").rowsBetween(-depth, -1)
+    out = rows.unionByName(edge).withColumn("mean_frames", F.avg("frames").over(back)).withColumn("sd_frames", F.stddev_pop("frames").over(back)).filter("_own").drop("_at", "_of", "_own")
     return out.withColumn("burst", F.coalesce(F.col("frames") > F.col("mean_frames") + 3 * F.col("sd_frames"), F.lit(False)))
 
 
@@ -171,7 +174,7 @@ def predict_next(df: DataFrame, last: int = 5, chunk_us: int = 3_600_000_000) ->
 
 def offline_spans(df: DataFrame, floor_us: int = 50_000) -> DataFrame:
     """Gaps beyond the identifier's learned deadline, mean + max(3 deviations, floor): from when it counts as offline to when it is back."""
-    rows = df.withColumn("next_us", F.lead("ts_us").over(per_id()))
+    rows = following(df, {"next_us": "ts_us"})
     stats = rows.filter("next_us is not null").groupBy("can_id").agg((F.avg(F.col("next_us") - F.col("ts_us")) / 1e6).alias("mean_s"), zero(F.stddev_samp((F.col("next_us") - F.col("ts_us")) / 1e6)).alias("sd_s"))
     rows = rows.join(stats, "can_id").withColumn("deadline_s", F.col("mean_s") + F.greatest(3 * F.col("sd_s"), F.lit(floor_us / 1e6)))
     gap = (F.col("next_us") - F.col("ts_us")) / 1e6
@@ -184,10 +187,10 @@ def stale_signals(df: DataFrame, now_us: int, limit_us: int) -> DataFrame:
 
 
 def trials(df: DataFrame, depth: int = 30) -> DataFrame:
-    """After every ``depth`` frames of an identifier the last one as trigger and those before as context."""
-    back = per_id().rowsBetween(-(depth - 1), 0)
-    rows = df.withColumn("rn", F.row_number().over(per_id())).withColumn("context", F.collect_list("frame_id").over(back))
-    return rows.filter(F.col("rn") % depth == 0).select("can_id", "frame_id", "ts_us", "rn", "context")
+    """After every ``depth`` frames of an identifier the last one as trigger and those before as context; a group holds ``depth`` frames."""
+    rows = position(df).groupBy("can_id", F.expr(f"(rn - 1) div {depth}").alias("turn")).agg(F.sort_array(F.collect_list(F.struct("rn", "frame_id", "ts_us"))).alias("rows"))
+    last = F.element_at("rows", -1)
+    return rows.filter(F.size("rows") == depth).select("can_id", last["frame_id"].alias("frame_id"), last["ts_us"].alias("ts_us"), last["rn"].alias("rn"), F.col("rows.frame_id").alias("context"))
 
 
 def replay_delay(df: DataFrame, speed: float = 1.0, most_ms: float = 1000.0, chunk_us: int = 3_600_000_000) -> DataFrame:
@@ -199,8 +202,3 @@ def replay_delay(df: DataFrame, speed: float = 1.0, most_ms: float = 1000.0, chu
 def tick_counts(df: DataFrame, tick_us: int) -> DataFrame:
     """Frames and identifiers in tumbling ticks."""
     return df.groupBy(F.expr(f"ts_us div {tick_us}").alias("tick")).agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("can_id").alias("ids"))
-
-
-def byte_groups(df: DataFrame) -> DataFrame:
-    """Each frame's bytes with the step from the byte before in the same position, for rules that look at steps."""
-    return bytes_long(df).withColumn("step", F.col("byte_val") - F.lag("byte_val").over(Window.partitionBy("can_id", "byte_idx").orderBy(*seq_order())))
