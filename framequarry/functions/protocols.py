@@ -81,7 +81,7 @@ def spn_table(spark: SparkSession) -> DataFrame:
 def decode_spns(df: DataFrame, pdu: str = "standard") -> DataFrame:
     """The parameters of each J1939 frame; 0 where the parameter starts past the payload, bytes past it read 0."""
     rows = df.filter(is_j1939()).select("*", *j1939_fields(pdu))
-    j = rows.join(F.broadcast(spn_table(df.sparkSession)), "pgn")
+    j = rows.join(spn_table(df.sparkSession), "pgn")
     raw = raw_little("data", "byte_off * 8 + bit_off", "bits")
     value = F.when(F.col("byte_off") >= F.size("data"), F.lit(0.0)).otherwise(raw.cast("double") * F.col("resolution") + F.col("off"))
     return j.withColumn("value", value)
@@ -114,7 +114,7 @@ def pid_table(spark: SparkSession) -> DataFrame:
 
 def decode_obd(df: DataFrame) -> DataFrame:
     """OBD messages with mode and PID names, unit and value; unknown PIDs and short payloads have value 0."""
-    rows = df.select("*", *obd_fields()).join(F.broadcast(pid_table(df.sparkSession)), ["mode", "pid"], "left")
+    rows = df.select("*", *obd_fields()).join(pid_table(df.sparkSession), ["mode", "pid"], "left")
     n = F.size("data")
     value = F.when(F.col("n_bytes").isNull() | (n < 4) | ((F.col("n_bytes") >= 2) & (n < 5)), F.lit(0.0)).otherwise(F.when(F.col("n_bytes") >= 2, be16(3)).otherwise(byte_at(3)) * F.col("scale") + F.col("off"))
     return rows.withColumn("value", value).withColumn("mode_name", name_of(T.OBD_MODES, F.col("mode"), hex_text("Mode 0x", F.col("mode")))).withColumn("pid_name", F.coalesce("pid_name", hex_text("PID 0x", F.col("pid"), 4))).withColumn("unit", F.coalesce("unit", F.lit("")))

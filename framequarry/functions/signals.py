@@ -7,31 +7,43 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One bit of a payload: the byte at {b} shifted by {s}, 0 past the payload's end or before its start.
-_BIT = "(shiftright(cast(coalesce(get({d}, cast({b} as int)), 0) as bigint), cast({s} as int)) & 1L)"
+def _byte(data: str, at: str) -> str:
+    """The byte at a position as a long, 0 past the payload's end or before its start."""
+    return f"coalesce(cast(get({data}, cast({at} as int)) as bigint), 0L)"
+
+
+def _low_bits(word: str, length: str) -> Column:
+    """The lowest ``length`` bits (1 to 64) of a long."""
+    return F.expr(f"({word}) & shiftrightunsigned(-1L, cast(64 - ({length}) as int))")
 
 
 def raw_little(data: str, start: str, length: str) -> Column:
-    """A little-endian field of up to 63 bits; bits past the payload read 0. Arguments are SQL expressions."""
-    bit = _BIT.format(d=data, b=f"(({start}) + i) div 8", s=f"(({start}) + i) % 8")
-    return F.expr(f"aggregate(sequence(0, ({length}) - 1), 0L, (a, i) -> a | shiftleft({bit}, cast(i as int)))")
+    """A little-endian field of up to 64 bits; bits past the payload read 0. Arguments are SQL expressions.
+
+    The nine bytes that it may touch are laid into a long and shifted as a whole, so no bit is looked at alone.
+    """
+    first, off = f"({start}) div 8", f"cast(({start}) % 8 as int)"
+    word = " | ".join(f"shiftleft({_byte(data, f'{first} + {j}')}, {8 * j})" for j in range(8))
+    over = f"if({off} = 0, 0L, shiftleft({_byte(data, f'{first} + 8')}, 64 - {off}))"
+    return _low_bits(f"shiftrightunsigned({word}, {off}) | {over}", length)
 
 
 def raw_motorola(data: str, start: str, length: str) -> Column:
     """A big-endian field whose start is its highest bit: down through the byte, then on from the next byte's bit 7."""
-    k = f"(7 - ({start}) % 8 + i)"
-    bit = _BIT.format(d=data, b=f"({start}) div 8 + {k} div 8", s=f"7 - {k} % 8")
-    return F.expr(f"aggregate(sequence(0, ({length}) - 1), 0L, (a, i) -> a | shiftleft({bit}, cast(({length}) - 1 - i as int)))")
+    first, off = f"({start}) div 8", f"cast(7 - ({start}) % 8 as int)"
+    word = " | ".join(f"shiftleft({_byte(data, f'{first} + {j}')}, {56 - 8 * j})" for j in range(8))
+    over = f"if({off} = 0, 0L, shiftright({_byte(data, f'{first} + 8')}, 8 - {off}))"
+    return F.expr(f"shiftrightunsigned(shiftleft({word}, {off}) | {over}, cast(64 - ({length}) as int))")
 
 
 def raw_descending(data: str, start: str, length: str) -> Column:
     """X03, ``compat="dbc"``: big-endian fields as the dictionary decoder reads them: chunks go to lower bytes and the first chunk is the lowest."""
     first = f"least(({start}) % 8 + 1, ({length}))"
-    q, r = f"((i - {first}) div 8)", f"((i - {first}) % 8)"
-    byte = f"if(i < {first}, ({start}) div 8, ({start}) div 8 - 1 - {q})"
-    low = f"if(i < {first}, ({start}) % 8 - {first} + 1 + i, 8 - least(8, ({length}) - {first} - 8 * {q}) + {r})"
-    bit = _BIT.format(d=data, b=f"if({byte} < 0, 999, {byte})", s=low)
-    return F.expr(f"aggregate(sequence(0, ({length}) - 1), 0L, (a, i) -> a | shiftleft({bit}, cast(i as int)))")
+    word = f"(shiftright({_byte(data, f'({start}) div 8')}, cast(({start}) % 8 + 1 - {first} as int)) & (shiftleft(1L, cast({first} as int)) - 1L))"
+    for q in range(8):
+        size = f"least(8, greatest(0, ({length}) - {first} - {8 * q}))"
+        word += f" | if({size} = 0, 0L, shiftleft(shiftright({_byte(data, f'({start}) div 8 - {1 + q}')}, cast(8 - {size} as int)), cast(least(63, {first} + {8 * q}) as int)))"
+    return F.expr(word)
 
 
 def signed(raw: Column, bits: Column) -> Column:
@@ -41,13 +53,17 @@ def signed(raw: Column, bits: Column) -> Column:
     return F.when((bits < 64) & (raw.bitwiseAND(top) != 0), raw.bitwiseOR(rest)).otherwise(raw)
 
 
-def physical(data: str = "data", compat: str = "mapper") -> Column:
-    """The physical value of the signal columns (start_bit, length, little_endian, is_signed, scale, offset); null if it lies past the payload.
+def raw_value(data: str = "data", compat: str = "mapper") -> Column:
+    """The raw value of the signal columns (start_bit, length, little_endian)."""
+    big = raw_descending(data, "start_bit", "length") if compat == "dbc" else raw_motorola(data, "start_bit", "length")
+    return F.when(F.col("little_endian"), raw_little(data, "start_bit", "length")).otherwise(big)
+
 
-    Little-endian fields cut by the payload's end take their sign from the bits that are there.
+def physical(raw: Column, data: str = "data") -> Column:
+    """The physical value of a raw one and the signal columns (start_bit, length, little_endian, is_signed, scale, offset); null if it lies past the payload.
+
+    Little-endian fields cut by the payload's end take their sign from the bits that are there. raw is read several times, so it should be a column of its own.
     """
-    big = raw_descending(data, "start_bit", "length") if compat == "dbc" else raw_motorola(data, "start_bit", "length")
-    raw = F.when(F.col("little_endian"), raw_little(data, "start_bit", "length")).otherwise(big)
     there = F.when(F.col("little_endian"), F.least(F.col("length"), 8 * F.size(data) - F.col("start_bit"))).otherwise(F.col("length"))
     value = F.when(F.col("is_signed"), signed(raw, there)).otherwise(raw)
     return F.when((there > 0) & (F.expr("start_bit div 8") < F.size(data)), value.cast("double") * F.col("scale") + F.col("offset"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.functions.signals import physical
+from framequarry.functions.signals import physical, raw_value
 from framequarry.operators.profile import zero
 from framequarry.schema import seq_order
 
 
 def decode(df: DataFrame, signals: DataFrame, compat: str = "mapper") -> DataFrame:
-    """One row for each frame and signal of its message: (frame_id, ts_us, can_id, msg_name, sig_name, value, unit). A dictionary is a small file, so its side is broadcast."""
-    j = df.join(F.broadcast(signals), df["can_id"] == signals["msg_id"]).withColumn("value", physical("data", compat))
+    """One row for each frame and signal of its message: (frame_id, ts_us, can_id, msg_name, sig_name, value, unit). Spark broadcasts the dictionary if its size allows."""
+    j = df.join(signals, df["can_id"] == signals["msg_id"]).withColumn("_raw", raw_value("data", compat)).withColumn("value", physical(F.col("_raw")))
     return j.filter("value is not null").select("frame_id", "ts_us", "can_id", "msg_name", "sig_name", "value", "unit")
 
 
@@ -24,7 +24,7 @@ def signal_stats(values: DataFrame, buckets: int = 10) -> DataFrame:
     stats = values.groupBy("sig_name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"), zero(F.stddev_samp("value")).alias("sd"))
     span = F.col("max_value") - F.col("min_value")
     cell = F.when(span == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("value") - F.col("min_value")) / F.nullif(span, F.lit(0.0)) * buckets), F.lit(buckets - 1))).cast("int")
-    cells = values.join(F.broadcast(stats), "sig_name").withColumn("cell", cell).groupBy("sig_name").agg(*(F.count_if(F.col("cell") == i).alias(f"h{i}") for i in range(buckets)))
+    cells = values.join(stats, "sig_name").withColumn("cell", cell).groupBy("sig_name").agg(*(F.count_if(F.col("cell") == i).alias(f"h{i}") for i in range(buckets)))
     return stats.join(cells, "sig_name")
 
 
@@ -35,7 +35,7 @@ def latest(values: DataFrame) -> DataFrame:
 
 def alarms(values: DataFrame, bounds: DataFrame) -> DataFrame:
     """Signals whose last value lies strictly beyond a bound (sig_name, low or null, high or null)."""
-    j = latest(values).join(F.broadcast(bounds), "sig_name")
+    j = latest(values).join(bounds, "sig_name")
     return j.withColumn("alarm", F.coalesce(F.col("last_value") < F.col("low"), F.lit(False)) | F.coalesce(F.col("last_value") > F.col("high"), F.lit(False)))
 
 
