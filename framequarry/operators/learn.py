@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.signals import cosine
 from framequarry.operators.diff import interval_join
+from framequarry.operators.ordered import carried, position
 from framequarry.operators.profile import auto_increment, cyclic_noise, ratio, zero
-from framequarry.schema import bytes_long, seq_order
+from framequarry.schema import bytes_long, payload_bytes, seq_order
 
 
-def observation_bytes(df: DataFrame, obs: DataFrame, before_us: int, after_us: int, n_bytes: int = 8) -> DataFrame:
-    """(variable, obs_id, value, can_id, byte_idx, avg_byte): each byte's mean over the frames around an observation, rounded down; frames without the byte count as 0."""
+def observation_bytes(df: DataFrame, obs: DataFrame, before_us: int, after_us: int, n_bytes: int | None = None) -> DataFrame:
+    """(variable, obs_id, value, can_id, byte_idx, avg_byte): each byte's mean over the frames around an observation, rounded down; frames without the byte count as 0.
+
+    There are as many bytes as the recording's longest payload has, 8 at least and 64 at most.
+    """
+    n_bytes = n_bytes or payload_bytes(df)
     points = obs.withColumnRenamed("ts_us", "at_us")
     near = interval_join(df.select("frame_id", "ts_us", "can_id", "data"), points, before_us, after_us)
     sums = near.groupBy("variable", "obs_id", "value", "can_id").agg(*(F.floor(F.sum(F.coalesce(F.get("data", F.lit(i)), F.lit(0)).cast("long")) / F.count(F.lit(1))).cast("int").alias(f"b{i}") for i in range(n_bytes)))
@@ -28,7 +33,7 @@ def frequent_ids(obs_bytes: DataFrame) -> DataFrame:
     """(variable, can_id) present in at least max(3, half) of the variable's observations."""
     n = obs_bytes.groupBy("variable").agg(F.countDistinct("obs_id").alias("n_obs"))
     seen = obs_bytes.groupBy("variable", "can_id").agg(F.countDistinct("obs_id").alias("n_seen"))
-    return seen.join(F.broadcast(n), "variable").filter(F.col("n_seen") >= F.greatest(F.lit(3), F.expr("n_obs div 2"))).select("variable", "can_id")
+    return seen.join(n, "variable").filter(F.col("n_seen") >= F.greatest(F.lit(3), F.expr("n_obs div 2"))).select("variable", "can_id")
 
 
 def usable(obs_bytes: DataFrame, df: DataFrame) -> DataFrame:
@@ -64,7 +69,8 @@ def online_correlations(obs_bytes: DataFrame) -> DataFrame:
 
 
 def cross_bytes(obs_bytes: DataFrame, ids: Column | None = None) -> DataFrame:
-    """R between bytes of the same observations, both orders, constant bytes left out. Joined on the observation, so a byte meets only those seen with it."""
+    """R between bytes of the same observations, both orders, constant bytes left out. Joined on the observation, so a byte meets only those seen with it:
+    an observation's bytes squared, which identifiers and payload bound. The matrix is what is asked for."""
     a = obs_bytes if ids is None else obs_bytes.filter(ids)
     b = a.select("variable", "obs_id", F.col("can_id").alias("id2"), F.col("byte_idx").alias("byte2"), F.col("avg_byte").cast("double").alias("y"))
     j = a.withColumn("x", F.col("avg_byte").cast("double")).join(b, ["variable", "obs_id"])
@@ -74,7 +80,7 @@ def cross_bytes(obs_bytes: DataFrame, ids: Column | None = None) -> DataFrame:
 
 def variable_matrix(obs: DataFrame) -> DataFrame:
     """R between variables over their common prefix of observations, diagonal included."""
-    rows = obs.withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy("ts_us", "obs_id")))
+    rows = position(obs.withColumn("frame_id", F.col("obs_id")), "k", ["variable"]).drop("frame_id")
     b = rows.select("k", F.col("variable").alias("variable2"), F.col("value").alias("value2"))
     return rows.join(b, "k").groupBy("variable", "variable2").agg(F.count(F.lit(1)).alias("n"), pearson("value", "value2").alias("r"))
 
@@ -86,17 +92,22 @@ def discover(obs_bytes: DataFrame, df: DataFrame, recent_us: int = 2_000_000) ->
     return byte_correlations(obs_bytes.join(alive, "can_id", "left_semi")).filter("n >= 5 AND abs(r) >= 0.5")
 
 
-def mutual_information(obs_bytes: DataFrame, bins: int | Column = 10, extra: list[str] | None = None) -> DataFrame:
+def mutual_information(obs_bytes: DataFrame, bins: int | Column = 10, extra: list[str] | None = None, grids: Column | None = None) -> DataFrame:
     """Mutual information in nats of each byte and its variable over equal-width bins of both."""
-    key = ["variable", "can_id", "byte_idx", *(extra or [])]
-    w = Window.partitionBy(*key)
+    byte = ["variable", "can_id", "byte_idx"]
+    key = [*byte, *(extra or [])]
+    w = Window.partitionBy(*key)  # over the cells, at most bins squared a key
     n = F.lit(bins) if isinstance(bins, int) else bins
+    x = obs_bytes.withColumn("x", F.col("avg_byte").cast("double"))
+    bounds = x.groupBy(*byte).agg(*(f(c).alias(f"{name}_{c}") for c in ("x", "value") for name, f in (("lo", F.min), ("hi", F.max))))
 
     def cell(c: str) -> Column:
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
         return F.least(n - 1, F.floor((F.col(c) - lo) / (hi - lo + 1e-9) * n)).cast("int")
 
-    joint = obs_bytes.withColumn("x", F.col("avg_byte").cast("double")).select("*", cell("x").alias("i"), cell("value").alias("j")).groupBy(*key, "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    # Equal pairs are counted first, so grids are laid over pairs and not over rows.
+    pairs = x.groupBy(*byte, "x", "value").agg(F.count(F.lit(1)).alias("m")).join(bounds, byte)
+    joint = (pairs if grids is None else pairs.withColumn("g", grids)).select(*key, cell("x").alias("i"), cell("value").alias("j"), "m").groupBy(*key, "i", "j").agg(F.sum("m").alias("c"))
     total = F.sum("c").over(w).cast("double")
     p, px, py = F.col("c") / total, F.sum("c").over(Window.partitionBy(*key, "i")) / total, F.sum("c").over(Window.partitionBy(*key, "j")) / total
     return joint.withColumn("term", p * F.log(p / (px * py))).groupBy(*key).agg(F.sum("c").alias("n"), F.sum("term").alias("mi"))
@@ -104,8 +115,7 @@ def mutual_information(obs_bytes: DataFrame, bins: int | Column = 10, extra: lis
 
 def maximal_information(obs_bytes: DataFrame, most: int = 8) -> DataFrame:
     """The greatest of MI / ln g over grids of g = 2 to ``most`` bins a side."""
-    grids = obs_bytes.withColumn("g", F.explode(F.sequence(F.lit(2), F.lit(most))))
-    each = mutual_information(grids, F.col("g"), ["g"])
+    each = mutual_information(obs_bytes, F.col("g"), ["g"], F.explode(F.sequence(F.lit(2), F.lit(most))))
     return each.groupBy("variable", "can_id", "byte_idx").agg(F.max("n").alias("n"), F.max(F.col("mi") / F.log(F.col("g").cast("double"))).alias("mic"))
 
 
@@ -126,12 +136,13 @@ def predict(models: DataFrame, df: DataFrame) -> DataFrame:
 
 def lag_correlations(obs_bytes: DataFrame, most: int = 10) -> DataFrame:
     """R of the k-th observation's byte with the variable ``byte_leads_by`` observations later, lags -most to most, n >= 5 and |r| > 0.3; bytes not seen read 0."""
-    obs = obs_bytes.select("variable", "obs_id", "value").distinct().withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy("obs_id")))
+    obs = carried(obs_bytes.select("variable", "obs_id", "value").distinct(), ["variable"], {"_n": (F.count(F.lit(1)), F.sum)}, F.expr("obs_id div 1048576"))
+    obs = obs.withColumn("k", F.coalesce("_n", F.lit(0)) + F.row_number().over(Window.partitionBy("variable", "_chunk").orderBy("obs_id"))).drop("_chunk", "_n")
     cells = obs_bytes.select("variable", "can_id", "byte_idx").distinct().join(obs, "variable")
     full = cells.join(obs_bytes.select("variable", "obs_id", "can_id", "byte_idx", "avg_byte"), ["variable", "obs_id", "can_id", "byte_idx"], "left").withColumn("x", F.coalesce("avg_byte", F.lit(0)).cast("double"))
     shifted = full.withColumn("byte_leads_by", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("k2", F.col("k") + F.col("byte_leads_by"))
     later = obs.select("variable", F.col("k").alias("k2"), F.col("value").alias("y"))
-    out = shifted.join(F.broadcast(later), ["variable", "k2"]).groupBy("variable", "can_id", "byte_idx", "byte_leads_by").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"))
+    out = shifted.join(later, ["variable", "k2"]).groupBy("variable", "can_id", "byte_idx", "byte_leads_by").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"))
     return out.filter("n >= 5 AND abs(r) > 0.3")
 
 
@@ -157,23 +168,31 @@ def adaptive_window(df: DataFrame) -> DataFrame:
     return df.agg(F.least(F.lit(2e6), F.greatest(F.lit(1e5), 3 * mean)).cast("long").alias("before_us")).withColumn("after_us", F.expr("before_us div 3"))
 
 
-def event_features(rows: DataFrame) -> DataFrame:
-    """Per event and identifier the vector (count, mean interval ms, deviation ms, byte means / 255) as an array of doubles."""
+def event_features(rows: DataFrame, n_bytes: int | None = None) -> DataFrame:
+    """Per event and identifier the vector (count, mean interval ms, deviation ms, byte means / 255) as an array of doubles, with as many bytes as the longest payload has, 8 at least and 64 at most."""
+    n_bytes = n_bytes or payload_bytes(rows)
     gap = (F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("event_id", "can_id").orderBy(*seq_order()))) / 1000
-    means = (F.avg(F.coalesce(F.get("data", F.lit(i)), F.lit(0)).cast("double")) / 255 for i in range(8))
+    means = (F.avg(F.coalesce(F.get("data", F.lit(i)), F.lit(0)).cast("double")) / 255 for i in range(n_bytes))
     return rows.withColumn("gap", gap).groupBy("event_id", "label", "can_id").agg(F.array(F.count(F.lit(1)).cast("double"), zero(F.avg("gap")), zero(F.stddev_pop("gap")), *means).alias("vec"))
 
 
 def candidates(features: DataFrame) -> DataFrame:
-    """Identifiers of all positive events, by mean pairwise cosine over those times (1 - half the mean cosine to negative ones)."""
-    pos, neg = features.filter("label"), features.filter("NOT label")
-    n = pos.agg(F.countDistinct("event_id").alias("n_events"))
-    common = pos.groupBy("can_id").agg(F.countDistinct("event_id").alias("n")).crossJoin(F.broadcast(n)).filter("n = n_events").select("can_id")
-    pos = pos.join(common, "can_id", "left_semi")
-    other = lambda d, e: d.select("can_id", F.col("event_id").alias(e), F.col("vec").alias("vec2"))
-    same = pos.join(other(pos, "e2"), "can_id").filter("event_id < e2").groupBy("can_id").agg(F.avg(cosine(F.col("vec"), F.col("vec2"))).alias("same"))
-    diff = pos.join(other(neg, "e2"), "can_id").groupBy("can_id").agg(F.avg(cosine(F.col("vec"), F.col("vec2"))).alias("diff"))
-    return same.join(diff, "can_id", "left").withColumn("score", F.col("same") * (1 - 0.5 * F.coalesce("diff", F.lit(0.0))))
+    """Identifiers of all positive events, by mean pairwise cosine over those times (1 - half the mean cosine to negative ones).
+
+    Of vectors of length 1 the mean over all pairs follows from their sum: the square of its length less one for each vector, over the
+    pairs. So no pair is formed; a vector without length counts as cosine 0.
+    """
+    n = features.filter("label").agg(F.countDistinct("event_id").alias("n_events"))
+    common = features.filter("label").groupBy("can_id").agg(F.countDistinct("event_id").alias("n")).crossJoin(F.broadcast(n)).filter("n = n_events").select("can_id")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(length < 1e-6, F.transform("vec", lambda x: x * 0.0)).otherwise(F.transform("vec", lambda x: x / length))
+    parts = features.join(common, "can_id", "left_semi").select("can_id", "label", F.posexplode(unit).alias("dim", "u"))
+    side = lambda own: (F.sum(F.when(own, F.col("u"))).alias, F.sum(F.when(own, F.col("u") * F.col("u"))).alias, F.count_if(own).alias)
+    (ps, pq, pn), (ns, _, nn) = side(F.col("label")), side(~F.col("label"))
+    sums = parts.groupBy("can_id", "dim").agg(ps("ps"), pq("pq"), pn("pn"), ns("ns"), nn("nn"))
+    out = sums.groupBy("can_id").agg(F.sum(F.col("ps") * F.col("ps")).alias("pp"), F.sum("pq").alias("pq"), F.max("pn").alias("pn"), F.sum(F.col("ps") * F.col("ns")).alias("pns"), F.max("nn").alias("nn")).filter("pn >= 2")
+    out = out.select("can_id", ((F.col("pp") - F.col("pq")) / (F.col("pn") * (F.col("pn") - 1))).alias("same"), (F.col("pns") / F.nullif(F.col("pn") * F.col("nn"), F.lit(0))).alias("diff"))
+    return out.withColumn("score", F.col("same") * (1 - 0.5 * F.coalesce("diff", F.lit(0.0))))
 
 
 def sequences(rows: DataFrame, n: int) -> DataFrame:
@@ -201,25 +220,26 @@ def anomaly_score(features: DataFrame, model: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors (vec_id, embedding) of each query by cosine, itself excluded; ties by vec_id.
 
-    The query set is stated by the caller and small against the vectors, so it is broadcast in one block; each task keeps k of its
-    vectors a query before the shuffle (a ranked window), and the norms are taken once a vector.
+    The query set is stated by the caller. Spark broadcasts the queries if their size allows and deals both sides in blocks otherwise; each
+    task keeps k of its vectors a query before the shuffle (a ranked window), and the norms are taken once a vector.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("qn"))
     dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select("vec_id", "embedding", norm("embedding").alias("vn"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(ratio(dot, F.col("vn") * F.col("qn")), 6).alias("cosine"))
+    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(ratio(dot, F.col("vn") * F.col("qn")), 6).alias("cosine"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).filter(F.col("rank") <= k)
 
 
 def matrix_cosine(features: DataFrame) -> DataFrame:
-    """Cosine between the byte-mean vectors of every two identifiers."""
+    """Cosine between the byte-mean vectors of every two identifiers: the matrix is the result, one row an identifier goes in."""
     b = features.select(F.col("can_id").alias("id2"), F.col("vec").alias("vec2"))
-    return features.crossJoin(F.broadcast(b)).select("can_id", "id2", cosine(F.col("vec"), F.col("vec2")).alias("cosine"))
+    return features.crossJoin(b).select("can_id", "id2", cosine(F.col("vec"), F.col("vec2")).alias("cosine"))
 
 
-def byte_means(df: DataFrame) -> DataFrame:
-    return df.groupBy("can_id").agg(F.array(*(F.avg(F.coalesce(F.get("data", F.lit(i)), F.lit(0)).cast("double")) for i in range(8))).alias("vec"))
+def byte_means(df: DataFrame, n_bytes: int | None = None) -> DataFrame:
+    """The mean of each byte of an identifier, as many as the longest payload has, 8 at least and 64 at most."""
+    return df.groupBy("can_id").agg(F.array(*(F.avg(F.coalesce(F.get("data", F.lit(i)), F.lit(0)).cast("double")) for i in range(n_bytes or payload_bytes(df)))).alias("vec"))
 
 
 def mask_accuracy(rows: DataFrame) -> DataFrame:

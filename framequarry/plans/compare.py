@@ -41,7 +41,8 @@ BYTE = lambda i: F.get("data", F.lit(i)).cast("int")
 r("a13_confusion", lambda f: D.confusion(f, BYTE(1) > 128, BYTE(3) > 50), sql(f"{TRUTH} SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS prec, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM c"))
 r("a13_mse", lambda f: D.errors_of(f, BYTE(1).cast("double"), BYTE(3) * 2.5), sql("SELECT round(avg((b1 - b3 * 2.5) * (b1 - b3 * 2.5)), 6) AS mse, round(sqrt(avg((b1 - b3 * 2.5) * (b1 - b3 * 2.5))), 6) AS rmse FROM fr"))
 r("a15_flag_rules", lambda f: D.flag_rules(P.flag_bits(f, 0.3)), sql(f"{PREV}, g AS (SELECT can_id, byte_idx, bit_or(byte_val) & bit_or(255 - byte_val) AS mask, count(*) FILTER (byte_val <> prev) AS changes, count(*) FILTER (byte_val <> prev AND abs(byte_val - prev) > 3) AS jumps FROM prv GROUP BY ALL), v AS (SELECT * FROM g WHERE bit_count(mask) BETWEEN 2 AND 6 AND changes > 0 AND jumps >= 0.3 * changes), x AS (SELECT can_id, byte_idx, mask, unnest(range(0, 8)) AS bit FROM v) SELECT can_id, byte_idx, bit::INT AS bit, (1 << bit)::INT AS bit_mask FROM x WHERE mask & (1 << bit) <> 0"))
-r("j15_rule_match", lambda f: D.rule_match(f.filter("frame_id < 400").select(F.col("frame_id").alias("sig"), "can_id", (F.col("frame_id") % 8).alias("byte_idx"), (F.col("frame_id") % 3 == 0).alias("discrete"), F.expr("shiftleft(1, cast(frame_id % 4 as int))").cast("long").alias("bit_mask")), f.filter("frame_id >= 400 AND frame_id < 900").select(F.col("frame_id").alias("ord"), "can_id", (F.col("frame_id") % 8).alias("byte_idx"), F.when(F.col("frame_id") % 2 == 0, 0).otherwise(F.expr("shiftleft(1, cast(frame_id % 5 as int))")).cast("long").alias("mask"))), sql("""t AS (SELECT frame_id AS sig, can_id, frame_id % 8 AS byte_idx, frame_id % 3 = 0 AS discrete, 1 << (frame_id % 4) AS bit_mask FROM fr WHERE frame_id < 400), u AS (SELECT frame_id AS ord, can_id, frame_id % 8 AS byte_idx, CASE WHEN frame_id % 2 = 0 THEN 0 ELSE 1 << (frame_id % 5) END AS mask FROM fr WHERE frame_id BETWEEN 400 AND 899),
+MASK = lambda: F.when(F.col("frame_id") % 2 == 0, 0).otherwise(F.expr("shiftleft(1, cast(frame_id % 5 as int))")).cast("long").alias("mask")
+r("j15_rule_match", lambda f: D.rule_match(f.select(F.col("frame_id").alias("sig"), "can_id", (F.col("frame_id") % 8).alias("byte_idx"), (F.col("frame_id") % 3 == 0).alias("discrete"), F.expr("shiftleft(1, cast(frame_id % 4 as int))").cast("long").alias("bit_mask")), f.select("frame_id", "can_id", (F.col("frame_id") % 8).alias("byte_idx"), MASK()).groupBy("can_id", "byte_idx", "mask").agg(F.min("frame_id").alias("ord"))), sql("""t AS (SELECT frame_id AS sig, can_id, frame_id % 8 AS byte_idx, frame_id % 3 = 0 AS discrete, 1 << (frame_id % 4) AS bit_mask FROM fr), u AS (SELECT min(frame_id) AS ord, can_id, frame_id % 8 AS byte_idx, CASE WHEN frame_id % 2 = 0 THEN 0 ELSE 1 << (frame_id % 5) END AS mask FROM fr GROUP BY ALL),
 j AS (SELECT sig, ord, mask, CASE WHEN discrete THEN mask = bit_mask ELSE ord IS NOT NULL END AS ok FROM t LEFT JOIN u USING (can_id, byte_idx)), k AS (SELECT sig, ord, row_number() OVER (PARTITION BY sig ORDER BY ok DESC, mask <> 0, ord) AS r, ok FROM j) SELECT sig, CASE WHEN ok THEN ord END AS ord FROM k WHERE r = 1"""))
 r("a24_detection_rate", lambda f: D.detection_rate(f.select(F.col("can_id").alias("sig"), (BYTE(1) % 3 != 0).alias("detected"))), sql("SELECT can_id AS sig, count(*) AS trials, count(*) FILTER (b1 % 3 = 0) AS misses, round(100.0 * count(*) FILTER (b1 % 3 <> 0) / count(*), 6) AS rate FROM fr GROUP BY can_id"))
 r("a21_loss_rate", lambda f: D.loss_rate(f.groupBy("can_id").agg(F.count(F.lit(1)).alias("n_sent"), F.count_if(~F.col("error")).alias("n_rcvd"))), sql("SELECT can_id, count(*) AS n_sent, count(*) FILTER (NOT error) AS n_rcvd, round((1 - count(*) FILTER (NOT error) / count(*)) * 100, 6) AS loss_percent FROM fr GROUP BY can_id"))

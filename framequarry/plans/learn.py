@@ -30,10 +30,10 @@ r("m01_observations", ob, sql(f"{OBY} SELECT * FROM oy"))
 r("j13_frequent_ids", lambda f: L.frequent_ids(ob(f)), sql(f"{OBY}, n AS (SELECT variable, count(DISTINCT obs_id) AS n FROM oy GROUP BY variable) SELECT variable, can_id FROM oy JOIN n USING (variable) GROUP BY variable, can_id, n HAVING count(DISTINCT obs_id) >= greatest(3, n // 2)"))
 r("m05_byte_correlations", lambda f: L.byte_correlations(ob(f)), sql(f"{OBY} SELECT variable, can_id, byte_idx, count(*) AS n, {PEAR.format(x='avg_byte', y='value')} AS r FROM oy GROUP BY ALL"))
 NOISY = f"{PREV}, ni AS (SELECT can_id, byte_idx FROM prv WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) > 4 AND count(*) FILTER (byte_val <> prev) > 0.8 * count(*) AND count(*) FILTER (abs(byte_val - prev) IN (1, 255)) > 0.9 * count(*) FILTER (byte_val <> prev)), nc AS (SELECT can_id, byte_idx FROM prv WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) >= 4 AND greatest({', '.join(f'count(*) FILTER (xor(byte_val, prev) & {1 << i} <> 0)' for i in range(8))}) > 0.4 * count(*))"
-r("m05_usable_correlations", lambda f: L.byte_correlations(L.usable(L.long_bytes_of_frames(f, "k", B(3)), f)), sql(f"{NOISY}, z AS (SELECT by_.can_id, byte_idx, byte_val, b3::DOUBLE AS value FROM by_ JOIN fr USING (frame_id)), q AS (SELECT can_id FROM fr GROUP BY can_id HAVING count(*) >= greatest(3, (SELECT count(*) FROM fr) // 2)) SELECT 'k' AS variable, can_id, byte_idx::INT AS byte_idx, count(*) AS n, {PEAR.format(x='byte_val', y='value')} AS r FROM z WHERE can_id IN (SELECT can_id FROM q) AND (can_id, byte_idx) NOT IN (SELECT * FROM ni) AND (can_id, byte_idx) NOT IN (SELECT * FROM nc) GROUP BY ALL"))
+r("m05_usable_correlations", lambda f: L.byte_correlations(L.usable(ob(f), f)), sql(f"{OBY}, {NOISY}, n AS (SELECT variable, count(DISTINCT obs_id) AS n FROM oy GROUP BY variable), q AS (SELECT variable, can_id FROM oy JOIN n USING (variable) GROUP BY variable, can_id, n HAVING count(DISTINCT obs_id) >= greatest(3, n // 2)) SELECT variable, can_id, byte_idx, count(*) AS n, {PEAR.format(x='avg_byte', y='value')} AS r FROM oy JOIN q USING (variable, can_id) WHERE (can_id, byte_idx) NOT IN (SELECT * FROM ni) AND (can_id, byte_idx) NOT IN (SELECT * FROM nc) GROUP BY ALL"))
 r("m06_online_correlations", lambda f: L.online_correlations(ob(f)), sql(f"{OBY} SELECT variable, can_id, byte_idx, count(*) AS n, {PEAR.format(x='avg_byte', y='value')} AS r FROM oy GROUP BY ALL"))
-r("m07_cross_bytes", lambda f: L.cross_bytes(ob(f).filter("variable = 'k'"), F.col("can_id").between(256, 259)), sql(f"{OBY}, a AS (SELECT * FROM oy WHERE variable = 'k' AND can_id BETWEEN 256 AND 259) SELECT a.variable, a.can_id, a.byte_idx, b.can_id AS id2, b.byte_idx AS byte2, count(*) AS n, round(corr(a.avg_byte, b.avg_byte), 6) AS r FROM a JOIN a b USING (variable, obs_id) GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.avg_byte) >= 1e-9 AND var_pop(b.avg_byte) >= 1e-9"))
-r("j14_byte_pairs", lambda f: L.cross_bytes(ob(f).filter("variable = 'v'"), F.col("can_id").between(260, 261)).select("can_id", "byte_idx", "id2", "byte2", "n"), sql(f"{OBY}, a AS (SELECT * FROM oy WHERE variable = 'v' AND can_id BETWEEN 260 AND 261) SELECT a.can_id, a.byte_idx, b.can_id AS id2, b.byte_idx AS byte2, count(*) AS n FROM a JOIN a b USING (variable, obs_id) GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.avg_byte) >= 1e-9 AND var_pop(b.avg_byte) >= 1e-9"))
+r("m07_cross_bytes", lambda f: L.cross_bytes(ob(f).filter("variable = 'k'")), sql(f"{OBY}, a AS (SELECT * FROM oy WHERE variable = 'k') SELECT a.variable, a.can_id, a.byte_idx, b.can_id AS id2, b.byte_idx AS byte2, count(*) AS n, round(corr(a.avg_byte, b.avg_byte), 6) AS r FROM a JOIN a b USING (variable, obs_id) GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.avg_byte) >= 1e-9 AND var_pop(b.avg_byte) >= 1e-9"))
+r("j14_byte_pairs", lambda f: L.cross_bytes(ob(f).filter("variable = 'v'")).select("can_id", "byte_idx", "id2", "byte2", "n"), sql(f"{OBY}, a AS (SELECT * FROM oy WHERE variable = 'v') SELECT a.can_id, a.byte_idx, b.can_id AS id2, b.byte_idx AS byte2, count(*) AS n FROM a JOIN a b USING (variable, obs_id) GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.avg_byte) >= 1e-9 AND var_pop(b.avg_byte) >= 1e-9"))
 r("m08_variable_matrix", lambda f: L.variable_matrix(obs(f)), sql(f"{OBS}, k AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY ts_us, obs_id) AS k FROM os) SELECT a.variable, b.variable AS variable2, count(*) AS n, {PEAR.format(x='a.value', y='b.value')} AS r FROM k a JOIN k b USING (k) GROUP BY ALL"))
 r("m09_discovery", lambda f: L.discover(L.long_bytes_of_frames(f, "k", B(3)), f, 24 * HOUR), sql(f"z AS (SELECT by_.can_id, byte_idx::INT AS byte_idx, byte_val, b3::DOUBLE AS value FROM by_ JOIN fr USING (frame_id)), l AS (SELECT DISTINCT can_id FROM fr WHERE ts_us >= (SELECT max(ts_us) FROM fr) - {24 * HOUR}), c AS (SELECT 'k' AS variable, can_id, byte_idx, count(*) AS n, {PEAR.format(x='byte_val', y='value')} AS r FROM z WHERE can_id IN (SELECT can_id FROM l) GROUP BY ALL) SELECT * FROM c WHERE n >= 5 AND abs(r) >= 0.5"))
 
@@ -45,27 +45,36 @@ mi AS (SELECT variable, can_id, byte_idx, g, sum(c)::BIGINT AS n, sum(c / t * ln
 
 
 r("m10_mutual_information", lambda f: L.mutual_information(ob(f)), sql(f"{OBY}, gr AS (SELECT *, 10 AS g FROM oy), {mi_sql('10')} SELECT variable, can_id, byte_idx, n, round(mi, 6) AS mi FROM mi"))
-r("m11_maximal_information", lambda f: L.maximal_information(ob(f).filter("can_id < 260")), sql(f"{OBY}, gr AS (SELECT *, unnest(range(2, 9)) AS g FROM oy WHERE can_id < 260), {mi_sql('g')} SELECT variable, can_id, byte_idx, max(n) AS n, round(max(mi / ln(g)), 6) AS mic FROM mi GROUP BY ALL"))
+r("m11_maximal_information", lambda f: L.maximal_information(ob(f)), sql(f"{OBY}, gr AS (SELECT *, unnest(range(2, 9)) AS g FROM oy), {mi_sql('g')} SELECT variable, can_id, byte_idx, max(n) AS n, round(max(mi / ln(g)), 6) AS mic FROM mi GROUP BY ALL"))
 SELF = "z AS (SELECT by_.can_id, byte_idx::INT AS byte_idx, byte_val, (b1 * 2 + b3 * 0.01)::DOUBLE AS value FROM by_ JOIN fr USING (frame_id)), lm AS (SELECT 'k' AS variable, can_id, byte_idx, count(*) AS n, CASE WHEN stddev_pop(byte_val) < 1e-9 THEN 0 ELSE corr(byte_val, value) END AS r, regr_slope(value, byte_val) AS slope, regr_intercept(value, byte_val) AS intercept FROM z GROUP BY ALL)"
 self_models = lambda f: L.linear_models(L.long_bytes_of_frames(f, "k", B(1) * 2 + B(3) * 0.01))
 r("m12_linear_models", self_models, sql(f"{SELF} SELECT variable, can_id, byte_idx, n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM lm WHERE abs(r) >= 0.8"))
 r("m12_predict", lambda f: L.predict(self_models(f), f).select("can_id", "byte_idx", "predicted"), sql(f"{SELF}, la AS (SELECT can_id, arg_max(data, frame_id) AS d FROM fr GROUP BY can_id) SELECT can_id, byte_idx, round(slope * coalesce(d[byte_idx + 1], 0) + intercept, 6) AS predicted FROM lm JOIN la USING (can_id) WHERE abs(r) >= 0.8"))
 r("j16_latest_frames", lambda f: f.groupBy("can_id").agg(F.max_by("data", F.struct("ts_us", "frame_id")).alias("d")).select("can_id", F.array_join(F.col("d").cast("array<string>"), ",").alias("data")), sql("SELECT can_id, array_to_string(arg_max(data, frame_id), ',') AS data FROM fr GROUP BY can_id"))
-r("w23_lag_correlations", lambda f: L.lag_correlations(ob(f).filter("variable = 'v' AND can_id BETWEEN 256 AND 259"), 5), sql(f"""{OBY}, y AS (SELECT * FROM oy WHERE variable = 'v' AND can_id BETWEEN 256 AND 259), o AS (SELECT DISTINCT obs_id, value FROM y), k AS (SELECT *, row_number() OVER (ORDER BY obs_id) AS k FROM o), c AS (SELECT DISTINCT can_id, byte_idx FROM y),
-x AS (SELECT c.can_id, c.byte_idx, k.k, coalesce(y.avg_byte, 0) AS x FROM c CROSS JOIN k LEFT JOIN y ON y.obs_id = k.obs_id AND y.can_id = c.can_id AND y.byte_idx = c.byte_idx), s AS (SELECT *, unnest(range(-5, 6)) AS lag FROM x), g AS (SELECT can_id, byte_idx, lag, count(*) AS n, {PEAR.format(x='x', y='k.value')} AS r FROM s JOIN k ON k.k = s.k + s.lag GROUP BY ALL)
-SELECT 'v' AS variable, can_id, byte_idx, lag::INT AS byte_leads_by, n, r FROM g WHERE n >= 5 AND abs(r) > 0.3"""))
+
+
+def waved(f):
+    """Frames whose byte 1 rises and falls in 111 hours, so that lagged bytes relate to what is observed."""
+    wave = F.abs(F.expr("(ts_us div 1000000000) % 400") - 200)
+    return f.withColumn("data", F.transform("data", lambda x, i: F.when(i == 1, wave.cast("short")).otherwise(x)))
+
+
+WAVED = "fs AS (SELECT * REPLACE (abs((ts_us // 1000000000) % 400 - 200) AS b1) FROM fr), " + OBY.replace("FROM fr", "FROM fs").replace("JOIN fr ON fr.ts_us", "JOIN fs fr ON fr.ts_us")
+r("w23_lag_correlations", lambda f: L.lag_correlations(ob(waved(f))), sql(f"""{WAVED}, o AS (SELECT DISTINCT variable, obs_id, value FROM oy), k AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY obs_id) AS k FROM o), c AS (SELECT DISTINCT variable, can_id, byte_idx FROM oy),
+x AS (SELECT c.variable, c.can_id, c.byte_idx, k.k, coalesce(oy.avg_byte, 0) AS x FROM c JOIN k USING (variable) LEFT JOIN oy ON oy.variable = c.variable AND oy.obs_id = k.obs_id AND oy.can_id = c.can_id AND oy.byte_idx = c.byte_idx), s AS (SELECT *, unnest(range(-10, 11)) AS lag FROM x), g AS (SELECT s.variable, can_id, byte_idx, lag, count(*) AS n, {PEAR.format(x='x', y='k.value')} AS r FROM s JOIN k ON k.variable = s.variable AND k.k = s.k + s.lag GROUP BY ALL)
+SELECT variable, can_id, byte_idx, lag::INT AS byte_leads_by, n, r FROM g WHERE n >= 5 AND abs(r) > 0.3"""))
 r("x18_weighted_pearson", lambda f: L.weighted_pearson(L.long_bytes_of_frames(f, "k", B(3)), 1e-6, F.lit(1_706_659_200_000_000)), sql("z AS (SELECT by_.can_id, byte_idx::INT AS byte_idx, byte_val::DOUBLE AS x, b3::DOUBLE AS y, exp(-1e-6 * (1706659200000000 - fr.ts_us) / 1e6) AS w FROM by_ JOIN fr USING (frame_id)), s AS (SELECT can_id, byte_idx, count(*) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS xx, sum(w * y * y) / sum(w) AS yy, sum(w * x * y) / sum(w) AS xy FROM z GROUP BY ALL) SELECT 'k' AS variable, can_id, byte_idx, n, CASE WHEN n < 3 OR xx - mx * mx < 1e-9 OR yy - my * my < 1e-9 THEN 0 ELSE round((xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)), 6) END AS r FROM s"))
 
 
 def events(f):
-    return f.filter("error AND can_id = 260 AND frame_id % 2 = 0").select(F.col("frame_id").alias("event_id"), (F.col("frame_id") % 4 == 0).alias("label"), F.col("ts_us").alias("at_us"))
+    return f.filter("error").select(F.col("frame_id").alias("event_id"), (F.col("frame_id") % 16 == 0).alias("label"), F.col("ts_us").alias("at_us"))
 
 
 def ev(f):
     return L.event_frames(f, events(f), 4 * HOUR, HOUR)
 
 
-EV = f"en AS (SELECT e.frame_id AS event_id, e.frame_id % 4 = 0 AS label, fr.* FROM fr e JOIN fr ON e.error AND e.can_id = 260 AND e.frame_id % 2 = 0 AND fr.ts_us BETWEEN e.ts_us - {4 * HOUR} AND e.ts_us + {HOUR}), ev AS (SELECT * FROM en QUALIFY count(*) OVER (PARTITION BY event_id) >= 3)"
+EV = f"en AS (SELECT e.frame_id AS event_id, e.frame_id % 16 = 0 AS label, fr.* FROM fr e JOIN fr ON e.error AND fr.ts_us BETWEEN e.ts_us - {4 * HOUR} AND e.ts_us + {HOUR}), ev AS (SELECT * FROM en QUALIFY count(*) OVER (PARTITION BY event_id) >= 3)"
 FEAT = EV + f", eg AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY event_id, can_id ORDER BY ts_us, frame_id)) / 1000 AS gap FROM ev), ef AS (SELECT event_id, label, can_id, [count(*)::DOUBLE, coalesce(avg(gap), 0), coalesce(stddev_pop(gap), 0), {', '.join(f'avg(CASE WHEN dlc > {i} THEN b{i} ELSE 0 END) / 255' for i in range(8))}] AS vec FROM eg GROUP BY ALL)"
 r("m02_event_frames", lambda f: ev(f).select("event_id", "label", "frame_id"), sql(f"{EV} SELECT event_id, label, frame_id FROM ev"))
 r("m02_adaptive_window", L.adaptive_window, sql("w AS (SELECT least(2e6, greatest(1e5, 3 * (max(ts_us) - min(ts_us)) / (count(*) - 1)))::BIGINT AS before_us FROM fr) SELECT before_us, before_us // 3 AS after_us FROM w"))

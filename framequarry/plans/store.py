@@ -46,7 +46,7 @@ add(
 add("q07_newest_all", lambda f: S.newest(f, 9000, None, 2000).select("frame_id", "can_id"), sql("SELECT frame_id, can_id FROM fr ORDER BY ts_us DESC, frame_id DESC LIMIT 2000"))
 add("q08_ids", S.ids, sql("SELECT can_id, count(*) AS frames, max(ts_us) AS last_us FROM fr GROUP BY can_id"))
 add("u01_common_ids", lambda f: S.common_ids(f, "session_id"), sql("SELECT can_id FROM fr GROUP BY can_id HAVING count(DISTINCT session_id) = (SELECT count(DISTINCT session_id) FROM fr)"))
-add("u02_minus_ids", lambda f: S.minus_ids(f.filter("dlc = 8"), f.filter("error AND ts_us < 1704153600000000")), sql("SELECT DISTINCT can_id FROM fr WHERE dlc = 8 AND can_id NOT IN (SELECT can_id FROM fr WHERE error AND ts_us < 1704153600000000)"))
+add("u02_minus_ids", lambda f: S.minus_ids(f.filter("dlc = 8"), f.filter(F.col("ts_us") < T0 + 1_800_000_000)), sql(f"SELECT DISTINCT can_id FROM fr WHERE dlc = 8 AND can_id NOT IN (SELECT can_id FROM fr WHERE ts_us < {T0 + 1_800_000_000})"))
 add("u03_id_changes", lambda f: S.id_changes(f.filter("can_id < 266"), f.filter("can_id > 260")), sql("SELECT DISTINCT can_id, 'removed' AS change FROM fr WHERE can_id <= 260 UNION ALL SELECT DISTINCT can_id, 'added' FROM fr WHERE can_id >= 266"))
 add(
     "u04_merge_streams", lambda f: S.merge_streams(("live", f.filter("session_id = 0")), ("replay", f.filter("session_id = 1").drop("esi"))).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count("esi").alias("with_esi")),
@@ -69,6 +69,6 @@ add(
     sql(f"""j AS (SELECT frame_id // 500 AS batch, frame_id, '{{"id":' || can_id || ',"extended":false,"rtr":false,"fd":false,"dlc":' || dlc || ',"timestamp":' || ts_us || ',"data":"' || {HEX_SQL} || '"}}' AS f FROM fr)
 SELECT batch, count(*) AS n, '{{"type":"frames","count":' || count(*) || ',"frames":[' || string_agg(f, ',' ORDER BY frame_id) || ']}}' AS message FROM j GROUP BY batch"""),
 )
-add("k11_frame_json", lambda f: f.filter("frame_id < 500").select("frame_id", S.frame_json().alias("json")), sql(f"""SELECT frame_id, '{{"id":' || can_id || ',"extended":false,"rtr":false,"fd":false,"dlc":' || dlc || ',"timestamp":' || ts_us || ',"data":"' || {HEX_SQL} || '"}}' AS json FROM fr WHERE frame_id < 500"""))
+add("k11_frame_json", lambda f: f.select("frame_id", S.frame_json().alias("json")), sql(f"""SELECT frame_id, '{{"id":' || can_id || ',"extended":false,"rtr":false,"fd":false,"dlc":' || dlc || ',"timestamp":' || ts_us || ',"data":"' || {HEX_SQL} || '"}}' AS json FROM fr"""))
 add("w14_trend_window", lambda f: S.window_trim(f, F.get("data", F.lit(1)).cast("long"), 86_400_000_000), sql("l AS (SELECT *, max(ts_us) OVER (PARTITION BY can_id) AS last FROM fr) SELECT can_id, count(*) AS points, min(b1) AS min_value, max(b1) AS max_value FROM l WHERE ts_us >= last - 86400000000 GROUP BY can_id"))
 add("s05_store_scan", lambda f: f.select("frame_id", "session_id", "ts_us", "can_id", "dlc", hex_bytes().alias("data")), sql(f"SELECT frame_id, session_id, ts_us, can_id, dlc, {HEX_SQL} AS data FROM fr"))

@@ -50,6 +50,11 @@ def bytes_long(df: DataFrame, limit: int = 8) -> DataFrame:
     return df.select("frame_id", "ts_us", "can_id", F.posexplode(F.slice("data", 1, limit)).alias("byte_idx", "byte_val")).withColumn("byte_val", F.col("byte_val").cast("int"))
 
 
+def payload_bytes(df: DataFrame, least: int = 8) -> int:
+    """The length of the longest payload, from ``least`` to 64: byte positions past it hold nothing in any frame."""
+    return min(64, max(least, df.agg(F.max(F.size("data"))).first()[0] or 0))
+
+
 def byte_at(i: int | Column, data: str | Column = "data") -> Column:
     """The byte at position i, 0 out of range."""
     return F.coalesce(F.get(data, i if isinstance(i, Column) else F.lit(i)), F.lit(0)).cast("long")
