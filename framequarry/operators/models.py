@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequarry.checkpoints import cut
+from framequarry.operators.graph import components
+
 FEATURES = ["frames", "ids", "entropy", "duration_ms", "constant"]
 
 
@@ -189,7 +192,7 @@ def cluster_windows(features: DataFrame, k: int = 3, seed: int = 42) -> DataFram
     return KMeans(k=k, seed=seed, featuresCol="vec", maxIter=100, tol=0.001).fit(rows).transform(rows).select("win", F.col("prediction").alias("cluster"))
 
 
-def elbow(features: DataFrame, most: int = 6, seed: int = 42) -> DataFrame:
+def elbow(features: DataFrame, most: int = 10, seed: int = 42) -> DataFrame:
     """The within-cluster sum of squares for 1 to ``most`` clusters; a single one from the moments."""
     from pyspark.ml.clustering import KMeans
 
@@ -232,14 +235,30 @@ def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
     return labels
 
 
-def dbscan_windows(features: DataFrame, eps: float = 0.5, least: int = 5, most: int = 20_000) -> DataFrame:
-    """Windows by density over the scaled features of at most ``most`` windows."""
+def dbscan_windows(features: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
+    """Every window's cluster by density over the scaled features, -1 for noise, as dbscan() numbers them.
+
+    Windows fall into a grid of cells eps wide and meet those of the 3^4 cells around theirs. Core windows within eps form components; a
+    component's number is its rank by its first core window, and a border window takes the lowest number among its core neighbours'.
+    The neighbour pairs of crowded cells are what this costs: density asks for them.
+    """
     columns = FEATURES[:4]
-    rows = features.select("win", *columns).orderBy(F.xxhash64("win"), "win").limit(most).toPandas().sort_values("win")
-    x = rows[columns].to_numpy(dtype=float)
-    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    labels = dbscan(x, eps, least)
-    return features.sparkSession.createDataFrame(pd.DataFrame({"win": rows["win"].to_numpy(), "cluster": labels}), "win long, cluster long")
+    moments = features.agg(*(f(c).alias(f"{name}_{c}") for c in columns for name, f in (("m", F.avg), ("s", F.stddev_pop))))
+    scaled = [(F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0) for c in columns]
+    points = cut(features.crossJoin(F.broadcast(moments)).select("win", F.array(*scaled).alias("x")))
+    cell = lambda i: F.floor(F.get("x", F.lit(i)) / eps)
+    own = points.select("win", "x", *(cell(i).alias(f"c{i}") for i in range(len(columns))))
+    around = points.select(F.col("win").alias("a"), F.col("x").alias("xa"), *(cell(i).alias(f"c{i}") for i in range(len(columns))))
+    for i in range(len(columns)):
+        around = around.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
+    far = F.aggregate(F.zip_with("xa", "x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d)
+    near = cut(around.join(own, [f"c{i}" for i in range(len(columns))]).filter(far <= eps * eps).select("a", F.col("win").alias("b")))
+    cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core"))
+    ties = near.join(cores, near["b"] == cores["core"]).drop("core")  # from any window to its core neighbours
+    comp = components(ties.join(cores, ties["a"] == cores["core"], "left_semi"))
+    firsts = comp.select("comp").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("comp")) - 1)  # one row a cluster
+    of = ties.join(comp.join(firsts, "comp").select(F.col("node").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
+    return points.select("win").join(of.withColumnRenamed("a", "win"), "win", "left").select("win", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def pca_windows(features: DataFrame, k: int = 2) -> DataFrame:
@@ -285,13 +304,13 @@ def tsne(x: np.ndarray, perplexity: float = 15.0, rounds: int = 500, rate: float
     return y, losses
 
 
-def tsne_windows(features: DataFrame, most: int = 300) -> DataFrame:
-    """At most ``most`` windows in the plane; a picture, not an analysis of all rows."""
+def tsne_windows(features: DataFrame, most: int = 300, rounds: int = 500) -> DataFrame:
+    """``most`` windows, taken by hash, in the plane; the method's own bound, for a picture and not an analysis of all rows."""
     columns = FEATURES[:4]
     rows = features.select("win", *columns).orderBy(F.xxhash64("win"), "win").limit(most).toPandas().sort_values("win")
     x = rows[columns].to_numpy(dtype=float)
     x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    y, _ = tsne(x, min(15.0, max(2.0, (len(x) - 1) / 3)), 200)
+    y, _ = tsne(x, min(15.0, max(2.0, (len(x) - 1) / 3)), rounds)
     return features.sparkSession.createDataFrame(pd.DataFrame({"win": rows["win"].to_numpy(), "x": y[:, 0], "y": y[:, 1]}), "win long, x double, y double")
 
 

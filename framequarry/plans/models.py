@@ -20,9 +20,9 @@ from framequarry.streaming import runtime as R
 
 
 def series(f: DataFrame) -> DataFrame:
-    """Each byte of six identifiers as a series in arrival order, with byte 3 as the target."""
+    """Each byte of each identifier as a series in arrival order, with byte 3 as the target."""
     t = f.select("frame_id", byte_at(3).alias("target"))
-    return bytes_long(f.filter("can_id < 262")).join(t, "frame_id").select("can_id", F.col("byte_idx").cast("long").alias("byte_idx"), F.col("frame_id").alias("ord"), F.col("byte_val").alias("value"), "target")
+    return bytes_long(f).join(t, "frame_id").select("can_id", F.col("byte_idx").cast("long").alias("byte_idx"), F.col("frame_id").alias("ord"), F.col("byte_val").alias("value"), "target")
 
 
 def win(f: DataFrame) -> DataFrame:
@@ -34,19 +34,19 @@ def flat(f: DataFrame) -> DataFrame:
 
 
 X = [f"x{i}" for i in range(7)]
-add("m13_bootstrap_interval", lambda f: M.bootstrap_models(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double")).filter("can_id < 262")))
-add("m16_isolation_forest", lambda f: M.isolation_scores(win(f), 50))
+add("m13_bootstrap_interval", lambda f: M.bootstrap_models(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double"))))
+add("m16_isolation_forest", lambda f: M.isolation_scores(win(f)))
 add("m17_window_clusters", lambda f: M.cluster_windows(win(f)))
 add("m17_dominant_ids", lambda f: M.dominant_ids(W.feature_windows(f, 2 * HOUR), M.cluster_windows(win(f))))
 add("m18_elbow", lambda f: M.elbow(win(f)))
 add("m19_density_clusters", lambda f: M.dbscan_windows(win(f)))
 add("m20_principal_components", lambda f: M.pca_windows(win(f)))
-add("m21_tsne", lambda f: M.tsne_windows(win(f), 120))
+add("m21_tsne", lambda f: M.tsne_windows(win(f)))
 add("m22_fft_peaks", lambda f: M.fft_peaks(series(f)))
 add("m23_granger", lambda f: M.granger(series(f)))
 add("m24_change_points", lambda f: M.series_changes(series(f)))
-add("m25_boosted_stumps", lambda f: M.boosted_stumps(flat(f), X, "y", 10))
-add("m26_network", lambda f: M.network_predictions(flat(f), X, "y", 2000, 60))
+add("m25_boosted_stumps", lambda f: M.boosted_stumps(flat(f), X, "y"))
+add("m26_network", lambda f: M.network_predictions(flat(f), X, "y"))
 add("m27_flag_classifier", lambda f: M.flag_classifier(P.byte_features(f), F.col("byte_idx").isin(0, 5)))
 add("a11_merged_signals", lambda f: M.merged_signals(P.byte_role(f)), sql(f"""{ENT}, {PREV}, cs AS (SELECT can_id, byte_idx, avg(CASE WHEN (prev + 1) % 256 = byte_val THEN 1.0 ELSE 0 END) AS c FROM prv WHERE prev IS NOT NULL GROUP BY ALL),
 x AS (SELECT can_id, data, list_reduce(data, lambda a, b: xor(a, b)) AS ax FROM fr WHERE len(data) > 1), y AS (SELECT can_id, ax, unnest(range(0, len(data))) AS byte_idx, unnest(data) AS v FROM x), xs AS (SELECT can_id, byte_idx, avg(CASE WHEN xor(ax, v) = v THEN 1.0 ELSE 0 END) >= 0.85 AS k FROM y GROUP BY ALL),
@@ -56,6 +56,8 @@ SELECT can_id, role || '_' || byte_idx AS sig_name, byte_idx * 8 AS start_bit, C
 add("k04_pcap_files", lambda f: B.session_digests(f, B.encode_pcap).drop("sha256"), sql("SELECT session_id, 24 + 32 * count(*) AS size FROM fr GROUP BY session_id"))
 add("k05_mcan_files", lambda f: B.session_digests(f).drop("sha256"), sql("SELECT session_id, (8 + 14 * count(*) + sum(dlc))::BIGINT AS size FROM fr GROUP BY session_id"))
 add("s03_mcan_round_trip", lambda f: B.session_files(f).select(F.posexplode(F.udf(lambda c: [(r[2], r[3], r[11]) for r in B.decode_mcan(bytes(c))], "array<struct<ts_us: long, can_id: long, dlc: long>>")("content")).alias("pos", "r")).select("r.*"), sql("SELECT ts_us, can_id, dlc FROM fr"))
+add("s04_zstd_round_trip", lambda f: B.session_files(f, B.encode_mcan_zstd).select(F.posexplode(F.udf(lambda c: [(r[2], r[3], r[11]) for r in B.decode_mcan(bytes(c))], "array<struct<ts_us: long, can_id: long, dlc: long>>")("content")).alias("pos", "r")).select("r.*"), sql("SELECT ts_us, can_id, dlc FROM fr"))
+add("k06_compressed_files", lambda f: B.session_files(f.withColumn("session_id", F.expr("ts_us div 3600000000")), B.encode_mcan_zstd).select("session_id", (F.hex(F.substring("content", 1, 4)) == "28B52FFD").alias("packed")), sql("SELECT ts_us // 3600000000 AS session_id, 8 + 14 * count(*) + sum(dlc) >= 512 AS packed FROM fr GROUP BY ALL"))
 add("k15_model_json", lambda f: J.model_json(L.linear_models(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double")))))
 add("k18_training_rows", lambda f: J.training_rows(P.flag_bits(f, 0.3), f.select("can_id").distinct().select("can_id", F.lit(1).alias("byte_idx"), F.lit(0.5).alias("scale"), F.lit(-2.0).alias("offset"))))
 add("k10_publish_messages", lambda f: J.publish_messages(S.run_fold(f.select("frame_id", "can_id", "ts_us", byte_at(1).cast("double").alias("value")), ["can_id"], ["ts_us", "frame_id"], S.dead_band(50.0), "can_id long, ts_us long, value double")))

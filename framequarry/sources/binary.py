@@ -60,6 +60,15 @@ def encode_mcan(rows: Iterator, head: bool = True) -> bytes:
     return b"".join(out)
 
 
+def packed(blob: bytes) -> bytes:
+    """A recording as a zstd frame, if it is long enough."""
+    return zstandard.ZstdCompressor(level=1).compress(blob) if len(blob) >= LEAST_COMPRESSED else blob
+
+
+def encode_mcan_zstd(rows: Iterator) -> bytes:
+    return packed(encode_mcan(rows))
+
+
 def encode_pcap(rows: Iterator) -> bytes:
     """Rows as a capture of link type 227; payloads are cut at 8 bytes, the identifier carries flags in bits 31 and 30."""
     out = [struct.pack("<IHHIIII", PCAP_MAGIC, 2, 4, 0, 0, PCAP_SNAPLEN, PCAP_LINKTYPE)]
@@ -172,11 +181,11 @@ class _McanWriter(DataSourceWriter):
         blob = encode_mcan(rows)
         if len(blob) <= 8:
             return WriterCommitMessage()
-        packed = self.compress and len(blob) >= LEAST_COMPRESSED
+        body = packed(blob) if self.compress else blob
         os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.mcan" + ".zst" * packed)
+        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.mcan" + ".zst" * (body is not blob))
         with open(f"{name}.tmp", "wb") as f:
-            f.write(zstandard.ZstdCompressor(level=1).compress(blob) if packed else blob)
+            f.write(body)
         os.replace(f"{name}.tmp", name)
         return WriterCommitMessage()
 
