@@ -12,7 +12,7 @@ from framequarry.functions import extend as E
 from framequarry.operators import learn as L
 from framequarry.operators.store import candump_rows, frame_json, json_batches
 from framequarry.plans.decode import DBC, VALUES
-from framequarry.plans.folds import ALERTS, alerts
+from framequarry.plans.folds import ALERTS, TAIL, alerts
 from framequarry.plans.registry import add
 from framequarry.schema import byte_at, hex_bytes, sql
 from framequarry.sources import binary as B
@@ -44,7 +44,7 @@ add("s08_serial_lines", lambda f: told(T.parse_slcan(lines(f, serial_line()))),
 add("s10_esp_lines", lambda f: told(T.parse_esp(lines(f, esp_line()))), PLAIN)
 add("s11_json_messages", lambda f: T.parse_messages(json_batches(f).select(F.col("message").alias("value"))).select("ts_us", "can_id", hex_bytes().alias("data")), sql(f"SELECT ts_us, can_id, {HEX} AS data FROM fr"))
 add("s12_posted_frames", lambda f: told(T.parse_send(lines(f, frame_json()))), PLAIN)
-add("s01_candump_us", lambda f: T.parse_candump(candump_rows(f.filter("dlc = 8"), "can0", "us").select(F.regexp_replace("line", "#8", "#").alias("value")), "us").select("ts_us", "can_id", hex_bytes().alias("data")), sql(f"SELECT ts_us, can_id, {HEX} AS data FROM fr WHERE dlc = 8"))
+add("s01_candump_us", lambda f: T.parse_candump(candump_rows(f, "can0", "us").select(F.regexp_replace("line", r"#\d", "#").alias("value")), "us").select("ts_us", "can_id", hex_bytes().alias("data")), sql(f"SELECT ts_us, can_id, {HEX} AS data FROM fr"))
 add("s02_candump_digit", lambda f: T.parse_candump(candump_rows(f, "can0", "digit").select(F.regexp_replace("line", r"#(\d)", "##$1").alias("value")), "digit").select("ts_us", "can_id", hex_bytes().alias("data")), sql(f"SELECT ts_us, can_id, {HEX} AS data FROM fr"))
 
 
@@ -66,7 +66,7 @@ def gvret(f: DataFrame) -> DataFrame:
 
 add("s09_gvret_stream", gvret, PLAIN)
 add("k12_dictionary_text", lambda f: f.sparkSession.createDataFrame([s for s in D.parse_dbc(D.serialize_dbc(D.parse_dbc(DBC))) if s[3]], D.SIGNAL_SCHEMA).select("msg_id", "sig_name", "start_bit", "length"), "SELECT * FROM (VALUES (256::BIGINT, 'Speed', 8, 16), (256, 'Nibble', 4, 8), (256, 'Temp', 8, 8), (257, 'Press', 15, 16), (257, 'Odd', 12, 6)) t(msg_id, sig_name, start_bit, length)")
-add("k16_top_significant", lambda f: L.p_values(L.byte_correlations(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double")))).filter("p < 0.05").orderBy(F.desc(F.abs("r")), "can_id", "byte_idx").limit(20).select("can_id", "byte_idx"))
+add("k16_top_significant", lambda f: L.p_values(L.byte_correlations(L.long_bytes_of_frames(f, "k", byte_at(3).cast("double")))).filter("p < 0.05").orderBy(F.desc(F.abs(F.round("r", 9))), "can_id", "byte_idx").limit(20).select("can_id", "byte_idx"), sql(f"{TAIL} SELECT can_id, byte_idx FROM t WHERE p < 0.05 ORDER BY abs(round(r, 9)) DESC, can_id, byte_idx LIMIT 20"))
 
 
 def _log_new(host, rule, can_id, ts) -> None:

@@ -92,7 +92,7 @@ r("w13_timeline", lambda f: W.timeline(f, 4, 50).select("can_id", "frame_id", F.
 r("w15_fps_bursts", lambda f: W.fps_bursts(f, HOUR, 20), sql("t AS (SELECT ts_us // 3600000000 AS tick, count(*) AS frames FROM fr GROUP BY ALL), s AS (SELECT *, avg(frames) OVER w AS m, stddev_pop(frames) OVER w AS sd FROM t WINDOW w AS (ORDER BY tick ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT tick, frames, round(m, 6) AS mean_frames, round(sd, 6) AS sd_frames, coalesce(frames > m + 3 * sd, false) AS burst FROM s"))
 r("w16_error_burst", lambda f: W.error_burst(f, 10, 24 * HOUR), sql(f"e AS (SELECT *, max(ts_us) OVER () AS last, min(ts_us) OVER () AS first FROM fr WHERE error) SELECT count(*) AS errors, count(*) FILTER (ts_us >= last - {24 * HOUR}) AS recent, count(*) FILTER (ts_us >= last - {24 * HOUR}) >= 10 AS burst, round(count(*) / ((any_value(last) - any_value(first)) / 1e6), 6) AS error_rate FROM e"))
 r("w16_recent_errors", lambda f: W.recent_errors(f, 24 * HOUR).select("frame_id", "class"), sql(f"SELECT frame_id, CASE WHEN can_id & 1 <> 0 THEN 'TxTimeout' WHEN can_id & 2 <> 0 THEN 'LostArbitration' WHEN can_id & 4 <> 0 THEN 'Controller' WHEN can_id & 8 <> 0 THEN 'Protocol' ELSE 'Restarted' END AS class FROM fr WHERE error AND ts_us >= (SELECT max(ts_us) FROM fr WHERE error) - {24 * HOUR}"))
-r("w17_auto_increment", P.auto_increment, sql(f"{PREV}, g AS (SELECT can_id, byte_idx, count(*) AS pairs, count(*) FILTER (byte_val <> prev) AS changes, count(*) FILTER (abs(byte_val - prev) IN (1, 255)) AS ones FROM prv WHERE prev IS NOT NULL GROUP BY ALL) SELECT * FROM g WHERE pairs > 4 AND changes > 0.8 * pairs AND ones > 0.9 * changes"))
+r("w17_auto_increment", lambda f: P.auto_increment(f.withColumn("can_id", F.lit(1).cast("long"))), sql(f"prv AS (SELECT 1::BIGINT AS can_id, byte_idx, byte_val, lag(byte_val) OVER (PARTITION BY byte_idx ORDER BY ts_us, frame_id) AS prev FROM by_), g AS (SELECT can_id, byte_idx, count(*) AS pairs, count(*) FILTER (byte_val <> prev) AS changes, count(*) FILTER (abs(byte_val - prev) IN (1, 255)) AS ones FROM prv WHERE prev IS NOT NULL GROUP BY ALL) SELECT * FROM g WHERE pairs > 4 AND changes > 0.8 * pairs AND ones > 0.9 * changes"))
 r("w18_cyclic_noise", P.cyclic_noise, sql(f"{PREV}, x AS (SELECT can_id, byte_idx, xor(byte_val, prev) AS x FROM prv WHERE prev IS NOT NULL), g AS (SELECT can_id, byte_idx, count(*) AS pairs, ({' + '.join(f'CASE WHEN count(*) FILTER (x & {1 << i} <> 0) > 0.4 * count(*) THEN {1 << i} ELSE 0 END' for i in range(8))})::BIGINT AS toggling FROM x GROUP BY ALL) SELECT * FROM g WHERE pairs >= 4 AND toggling > 0"))
 WIN = "n0 AS (SELECT *, min(ts_us) OVER () AS t0, max(ts_us) OVER () AS t9 FROM fr), k0 AS (SELECT *, (ts_us - t0) // 3600000000 AS k FROM n0), wf AS (SELECT *, k AS win FROM k0 UNION ALL SELECT *, k - 1 FROM k0 WHERE k >= 1), ww AS (SELECT * FROM wf WHERE t0 + win * 3600000000 < t9)"
 WFEAT = WIN + ", wi AS (SELECT win, can_id, count(*) AS n, min(ts_us) AS lo, max(ts_us) AS hi FROM ww GROUP BY ALL), wt AS (SELECT *, sum(n) OVER (PARTITION BY win) AS frames FROM wi), wx AS (SELECT win, any_value(frames)::BIGINT AS frames, count(*) AS ids, -sum(n / frames * ln(n / frames + 1e-9)) / ln(2) AS entropy, (max(hi) - min(lo)) / 1000 AS duration_ms FROM wt GROUP BY win HAVING any_value(frames) >= 3)"
