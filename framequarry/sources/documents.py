@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "nodes array<struct<name: string, trigId: long, idMask: long, trigData: array<int>, dataMask: array<int>, respId: long, respData: array<int>, delayMs: long>>"
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """The nodes of a simulator file, as match_nodes() takes them; masks default to all bits, the delay to 0."""
-    rows = spark.read.schema(NODE_SCHEMA).option("multiLine", True).json(path).select(F.inline("nodes"))
+def parsed(texts: DataFrame, schema: str) -> DataFrame:
+    """The JSON document of each row of column ``value``; what doesn't fit the schema is null."""
+    return texts.select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def nodes_of(texts: DataFrame) -> DataFrame:
+    """The nodes of simulator documents (column value), as match_nodes() takes them; masks default to all bits, the delay to 0."""
+    rows = parsed(texts, NODE_SCHEMA).select(F.inline("nodes"))
     empty = F.array().cast("array<int>")
     return rows.select(F.col("name").alias("node"), F.col("trigId").alias("trig_id"), F.coalesce("idMask", F.lit(0x1FFFFFFF)).cast("long").alias("id_mask"), F.coalesce("trigData", empty).alias("trig_data"), F.coalesce("dataMask", F.transform(F.coalesce("trigData", empty), lambda x: F.lit(255))).alias("data_mask"), F.col("respId").alias("resp_id"), F.coalesce("respData", empty).alias("resp_data"), (F.coalesce("delayMs", F.lit(0)) * 1000).alias("delay_us"))
 
 
+def profile_of(texts: DataFrame) -> DataFrame:
+    """(module, can_id, period_ms, requires) of module profile documents."""
+    return parsed(texts, "module string, ids array<struct<canId: long, periodMs: double, requires: array<long>>>").select("module", F.inline("ids")).select("module", F.col("canId").alias("can_id"), F.col("periodMs").alias("period_ms"), "requires")
+
+
+def mapper_of(texts: DataFrame) -> DataFrame:
+    """The signals of mapper documents as dictionary rows."""
+    rows = parsed(texts, "signals array<struct<canId: long, name: string, startBit: int, length: int, littleEndian: boolean, signed: boolean, scale: double, offset: double, unit: string>>").select(F.inline("signals"))
+    return rows.select(F.col("canId").alias("msg_id"), F.lit("mapper").alias("msg_name"), F.lit(8).alias("msg_dlc"), F.col("name").alias("sig_name"), F.col("startBit").alias("start_bit"), "length", F.coalesce("littleEndian", F.lit(True)).alias("little_endian"), F.coalesce("signed", F.lit(False)).alias("is_signed"), F.coalesce("scale", F.lit(1.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"), F.lit(0.0).alias("minimum"), F.lit(0.0).alias("maximum"), F.coalesce("unit", F.lit("")).alias("unit"))
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return nodes_of(spark.read.text(path, wholetext=True))
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """(can_id, period_ms, requires) of a module profile file."""
-    return spark.read.schema("module string, ids array<struct<canId: long, periodMs: double, requires: array<long>>>").option("multiLine", True).json(path).select("module", F.inline("ids")).select("module", F.col("canId").alias("can_id"), F.col("periodMs").alias("period_ms"), "requires")
+    return profile_of(spark.read.text(path, wholetext=True))
 
 
 def read_mapper(spark: SparkSession, path: str) -> DataFrame:
-    """The signals of a mapper file as dictionary rows."""
-    rows = spark.read.schema("signals array<struct<canId: long, name: string, startBit: int, length: int, littleEndian: boolean, signed: boolean, scale: double, offset: double, unit: string>>").option("multiLine", True).json(path).select(F.inline("signals"))
-    return rows.select(F.col("canId").alias("msg_id"), F.lit("mapper").alias("msg_name"), F.lit(8).alias("msg_dlc"), F.col("name").alias("sig_name"), F.col("startBit").alias("start_bit"), "length", F.coalesce("littleEndian", F.lit(True)).alias("little_endian"), F.coalesce("signed", F.lit(False)).alias("is_signed"), F.coalesce("scale", F.lit(1.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"), F.lit(0.0).alias("minimum"), F.lit(0.0).alias("maximum"), F.coalesce("unit", F.lit("")).alias("unit"))
+    return mapper_of(spark.read.text(path, wholetext=True))
 
 
 def save_session(obs: DataFrame, path: str) -> None:

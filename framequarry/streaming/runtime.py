@@ -27,7 +27,7 @@ def with_time(df: DataFrame, late: str = "5 seconds") -> DataFrame:
 def tumbling(df: DataFrame, width: str = "500 milliseconds", slide: str | None = None) -> DataFrame:
     """Frames and identifiers of each window, tumbling or sliding."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return with_time(df).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.approx_count_distinct("can_id").alias("ids")).select("w.start", "w.end", "frames", "ids")
+    return with_time(df).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.size(F.collect_set("can_id")).cast("long").alias("ids")).select("w.start", "w.end", "frames", "ids")
 
 
 class StepProcessor(StatefulProcessor):
@@ -60,8 +60,8 @@ def run_stream_fold(df: DataFrame, key: str, order: list[str], step: Step, schem
     return df.groupBy(key).transformWithStateInPandas(StepProcessor(step, columns, order), schema, "append", "none")
 
 
-def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], every: int = 16, slow: list[Callable[[DataFrame, int], None]] = (), checkpoint: str | None = None):
-    """Each batch goes to all ``sinks`` whole and to the ``slow`` ones one frame in ``every``; it is kept while they run."""
+def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], every: int = 16, slow: list[Callable[[DataFrame, int], None]] = (), checkpoint: str | None = None, available_now: bool = False):
+    """Each batch goes to all ``sinks`` whole and to the ``slow`` ones one frame in ``every``; it is kept while they run. ``available_now``: the query ends with the files that are there."""
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
@@ -73,7 +73,8 @@ def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], every:
             batch.unpersist()
 
     writer = df.writeStream.foreachBatch(each)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def observe(df: DataFrame) -> DataFrame:
