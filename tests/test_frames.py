@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framequarry.functions import expr, extend, protocols, signals
-from framequarry.operators import decode, diff, learn, models, profile, store, windows
+from framequarry.operators import decode, diff, graph, learn, models, ordered, profile, store, windows
 from framequarry.schema import FRAME_SCHEMA
 from framequarry.sources import binary, dictionary, documents, text
 from framequarry.streaming import folds, runtime
@@ -305,3 +305,106 @@ def test_empty_recording(spark):
     for plan in (profile.id_profile, profile.interval_stats, profile.byte_entropy, profile.flag_bits, windows.transitions, windows.delta, windows.new_ids, diff.dlc_anomalies, store.ids, store.id_frequency):
         assert plan(none).count() == 0
     assert windows.window_features(none, 1000).count() == 0
+
+
+def test_steps_cross_chunks_and_empty_chunks(spark):
+    times = [5, 5, 9, 12, 40, 41, 41, 99, 100, 100, 205]
+    df = make(spark, [(t, k % 3 and 1 + (t > 50), [k, t % 7]) for k, t in enumerate(times)])
+    rows = sorted(df.collect(), key=lambda r: (r["ts_us"], r["frame_id"]))
+    chunk = ordered.by_time(10)
+    for key in (["can_id"], ["session_id"]):
+        before, after, at, last, n = {}, {}, {}, {}, {}
+        for r in rows:
+            k = r[key[0]]
+            before[r["frame_id"]] = last.get(k)
+            if k in last:
+                after[last[k]] = r["frame_id"]
+            n[k] = n.get(k, 0) + 1
+            last[k], at[r["frame_id"]] = r["frame_id"], n[k]
+        got = ordered.position(ordered.following(ordered.previous(df, {"b": "frame_id", "bd": "data"}, key, chunk), {"a": "frame_id"}, key, chunk), "rn", key, chunk).collect()
+        assert {r["frame_id"]: (r["b"], r["a"], r["rn"]) for r in got} == {i: (before[i], after.get(i), at[i]) for i in at}
+    assert ordered.previous(df.limit(0), {"b": "frame_id"}).count() == 0
+
+
+def test_median_period_is_the_upper_median(spark):
+    gaps = [10_000, 30_000, 20_000, 1_500_000, 2_500_000, 20_000]
+    df = make(spark, [(sum(gaps[:i]), 1, [0]) for i in range(len(gaps) + 1)] + [(7, 2, [0])])
+    assert [tuple(r) for r in profile.median_period(df).collect()] == [(1, 30.0)]
+
+
+def test_fps_bursts_over_stretches(spark):
+    counts = [(i * 7) % 5 + 1 for i in range(60)] + [200] + [3] * 10
+    df = make(spark, [(i * 1000 + k, 1, []) for i, n in enumerate(counts) for k in range(n)])
+    whole = {r["tick"]: (r["burst"], r["mean_frames"]) for r in windows.fps_bursts(df, 1000, 5).collect()}
+    cut = {r["tick"]: (r["burst"], r["mean_frames"]) for r in windows.fps_bursts(df, 1000, 5, 8).collect()}
+    assert whole == cut and whole[60][0] and whole[0][1] is None
+
+
+def test_long_payloads_reach_mining(spark):
+    df = make(spark, [(i, 1, [0] * 8 + [i, 255 - i] + [7] * 54, {"fd": True}) for i in range(6)])
+    obs = df.select(F.lit("v").alias("variable"), F.col("frame_id").alias("obs_id"), "ts_us", F.col("frame_id").cast("double").alias("value"))
+    got = {r["byte_idx"]: r["r"] for r in learn.byte_correlations(learn.observation_bytes(df, obs, 0, 0)).collect()}
+    assert len(got) == 64 and got[8] == pytest.approx(1) and got[9] == pytest.approx(-1) and got[63] == 0
+    assert len(learn.byte_means(df).first()["vec"]) == 64
+
+
+def test_candidates_agree_with_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(e, e < 6, i, [float(x) for x in rng.normal(size=5)] if (e, i) != (2, 1) else [0.0] * 5) for e in range(11) for i in (1, 2)] + [(0, True, 3, [1.0] * 5)]
+    got = {r["can_id"]: (r["same"], r["diff"]) for r in learn.candidates(spark.createDataFrame(rows, "event_id long, label boolean, can_id long, vec array<double>")).collect()}
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if any(a) and any(b) else 0.0
+    for i in (1, 2):
+        pos, neg = ([r[3] for r in rows if r[2] == i and r[1] == side] for side in (True, False))
+        same = [cos(a, b) for k, a in enumerate(pos) for b in pos[:k]]
+        diff_ = [cos(a, b) for a in pos for b in neg]
+        assert got[i] == pytest.approx((sum(same) / len(same), sum(diff_) / len(diff_)))
+    assert set(got) == {1, 2}
+
+
+def test_density_clusters_of_all_windows(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.3, (40, 4)), rng.normal(5, 0.3, (30, 4)), rng.uniform(-9, 9, (12, 4)), np.linspace((0, 0, 0, 0), (3, 0, 0, 0), 15)])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "win long, frames double, ids double, entropy double, duration_ms double")
+    want = models.dbscan((x - x.mean(axis=0)) / x.std(axis=0), 0.5, 5)
+    got = {r["win"]: r["cluster"] for r in models.dbscan_windows(df).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist() and len(set(want)) > 2
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in graph.components(path).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {3: 3, 7: 3, 9: 3}
+
+
+def test_dictionary_statements():
+    text_ = """BO_ 256 A: 8 X
+ SG_ Mux M : 0|8@1+ (1,0) [0|0] "" X,Y
+ SG_ S1 m0 : 8|8@1- (0.5,-3) [-1|1e3] "km/h" X
+ SG_ bad : 8|8@2- (0.5,-3) [-1|1e3] "km/h" X
+CM_ SG_ 256 S1 "first
+BO_ 9 Fake: 8 X
+ SG_ F : 0|8@1+ (1,0) [0|0] "" X";
+BO_ zz B: 8 X
+ SG_ lost : 0|8@1+ (1,0) [0|0] "" X
+BO_ 0x1FFF C: 4 X
+ SG_ t:7|64@0+(1,0)[0|0]"" X
+BO_ 5 D: 1 X"""
+    rows = dictionary.parse_dbc(text_)
+    assert [(r[0], r[1], r[3], r[4], r[5], r[6], r[7]) for r in rows] == [(256, "A", "Mux", 0, 8, True, False), (256, "A", "S1", 8, 8, True, True), (8191, "C", "t", 7, 64, False, False), (5, "D", None, None, None, None, None)]
+    assert rows[1][8:] == (0.5, -3.0, -1.0, 1000.0, "km/h") and dictionary.parse_dbc("") == []
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 12, 64])
+def test_fields_against_bits(spark, size):
+    rng = np.random.default_rng(size)
+    data = [int(x) for x in rng.integers(0, 256, size)]
+    bit = lambda k: data[k // 8] >> k % 8 & 1 if 0 <= k < 8 * size else 0
+    fields = [(int(rng.integers(0, 8 * size)), int(rng.integers(1, 65))) for _ in range(25)] + [(0, 64), (7, 64)]
+    little = [signals.raw_little("data", str(s), str(n)) for s, n in fields]
+    big = [signals.raw_motorola("data", str(s), str(n)) for s, n in fields]
+    out = make(spark, [(0, 1, data)]).select(*(c.alias(f"c{i}") for i, c in enumerate(little + big))).first()
+    for i, (s, n) in enumerate(fields):
+        assert out[i] % (1 << 64) == sum(bit(s + k) << k for k in range(n)), (s, n)
+        places = [s // 8 * 8 + s % 8 - k if k <= s % 8 else (s // 8 + 1 + (k - s % 8 - 1) // 8) * 8 + 7 - (k - s % 8 - 1) % 8 for k in range(n)]
+        assert out[len(fields) + i] % (1 << 64) == sum(bit(p) << n - 1 - k for k, p in enumerate(places)), (s, n)
