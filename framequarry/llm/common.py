@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framequarry.checkpoints import cut, released, remove, shared_dir, small_side  # noqa: F401
+
 #: White space of every contract: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,19 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Sees to a checkpoint folder: the cluster's spark.checkpoint.dir, or a folder of our own where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="framequarry-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds the rows of an Arrow batch, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -59,8 +47,3 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names an operator's own output takes, in any case."""
     taken = {n.lower() for n in names}
     return df.drop(*(c for c in df.columns if c.lower() in taken))
-
-
-def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, of narrow rows, marked for broadcast if a count shows at most ``rows`` rows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
