@@ -24,7 +24,7 @@ def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngramjoin.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
 
 
 def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
