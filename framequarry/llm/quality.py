@@ -1,10 +1,10 @@
-"""Quality rules: base rules, then cutoffs that labelled holdouts certify by exact binomial bounds."""
+"""Quality rules: base rules, then levels of cutoffs that labelled holdouts certify by exact binomial bounds."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.llm.common import UPPER, SPACES, cut, let, null_key, words
@@ -12,10 +12,10 @@ from framequarry.llm.common import UPPER, SPACES, cut, let, null_key, words
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rules of the method: a document is rejected where the feature is above the cutoff.
-RULES = ("symbol_ratio", "dup_line_share", "repeat_share", "upper_ratio", "mark_ratio")
-#: Cutoffs to try, set before any label is seen.
-GRID = tuple(round(0.02 * i, 2) for i in range(1, 50))
+#: Rules of the method and their scales: a document is rejected where a feature is above level * scale.
+RULES = {"symbol_ratio": 1.0, "mark_ratio": 1.0, "repeat_share": 1.0, "dup_line_share": 4.0, "upper_ratio": 4.0}
+#: Levels to test, loosest first, set before any label is seen.
+LEVELS = (0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.04, 0.03, 0.02, 0.01)
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -51,7 +51,7 @@ def stratum(lang: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, base columns, base_failed, one column for each rule). Null text has no words."""
+    """(doc_id, stratum, base columns, base_failed, one column for each rule, worst: the greatest of them over their scales). Null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
@@ -62,11 +62,12 @@ def features(docs: DataFrame) -> DataFrame:
     c = F.col
     out = out.select("doc_id", "text_hash", "stratum", c("m.n_words").alias("n_words"), "word_chars", "n_symbols", c("l.n_dup_lines").alias("n_dup_lines"), c("m.n_repeat_words").alias("n_repeat_words"), c("l.n").alias("n_lines"), "n_upper", "n_marks")
     failed = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
-    return out.select(
+    out = out.select(
         "doc_id", "text_hash", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         share(c("n_symbols"), c("word_chars")).alias("symbol_ratio"), share(c("n_dup_lines"), c("n_lines")).alias("dup_line_share"), share(c("n_repeat_words"), c("n_words")).alias("repeat_share"),
         share(c("n_upper"), c("word_chars")).alias("upper_ratio"), share(c("n_marks"), c("word_chars")).alias("mark_ratio"),
     )
+    return out.withColumn("worst", F.greatest(*(c(r) / scale for r, scale in RULES.items())))
 
 
 def log_gamma(x: Column) -> Column:
@@ -98,41 +99,41 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * F.aggregate(rest, zero, add, lambda a: a["sum"])))
 
 
-def certified(feats: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff): the cutoffs whose false rejections the holdout bounds, at most one a stratum and rule.
+def certified(feats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(stratum, level): for each stratum the level that it uses, if the holdout bounds the false rejections of any.
+
+    A labelled document with quality 1 is good. A level rejects what any rule rejects at it, so its test is of all rules
+    together: it passes if, were its rate of rejected good documents above ``risk``, so few of them would show with probability at
+    most delta / number of strata (the exact binomial tail; Bonferroni over strata). Levels are tested from the loosest on
+    and the first that fails ends the sequence, so a stratum's sequence needs no further correction: with probability 1 - delta every level
+    that passed, in whatever stratum, rejects at most ``risk`` of the good documents. Of those the loosest that catches as many bad documents as
+    any is used; one that catches none is not. Without a false rejection a level needs ln(delta / strata) / ln(1 - risk) good labels,
+    217 with four strata; a stratum with fewer keeps all that the base rules keep.
 
-    A labelled document with quality 1 is good. A cutoff passes in its stratum if, were its rate of rejected good documents
-    above risk / number of rules, so few of them would show with probability at most delta / number of tests (Bonferroni over all strata,
-    rules and cutoffs, fixed before labels are seen). Then with probability 1 - delta every chosen cutoff holds and a stratum
-    loses at most ``risk`` of its good documents to all rules together. Among passing cutoffs the one that rejects most
-    bad documents wins, the highest of equals; one that rejects none is not used. A stratum with too few labels keeps all.
     Labels of null quality or without a document are left out; repeated labels of one document count once, the lowest.
     """
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = feats.filter(~F.col("base_failed")).join(marked, "doc_id")
-    cells = held.select("stratum", "quality", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) / (GRID[1] - GRID[0]) - 1e-9).cast("int").alias("cell")) for r in RULES))))
-    # A value in cell c is above exactly the cutoffs number 1 .. c - 1, so counts a cell give the counts of all cutoffs.
-    counts = cells.groupBy("stratum", "rule", "cell").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
-    cuts = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("cut"), F.lit(g).alias("cutoff")) for i, g in enumerate(GRID))))
-    table = counts.select("*", cuts.alias("c")).groupBy("stratum", "rule", "c.cut", "c.cutoff").agg(F.sum("good").alias("n"), F.sum(F.when(F.col("cell") > F.col("c.cut"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("cell") > F.col("c.cut"), F.col("bad")).otherwise(0)).alias("caught"))
+    # A document in cell c is above the last c levels, so counts a cell give the counts of all levels.
+    cell = sum((F.col("worst") > level).cast("int") for level in LEVELS)
+    counts = held.groupBy("stratum", cell.alias("cell")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    levels = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(level).alias("level")) for i, level in enumerate(LEVELS))))
+    above = lambda c: F.sum(F.when(F.col("cell") + F.col("l.turn") >= len(LEVELS), F.col(c)).otherwise(0))
+    table = counts.select("*", levels.alias("l")).groupBy("stratum", "l.turn", "l.level").agg(F.sum("good").alias("n"), above("good").alias("k"), above("bad").alias("caught"))
     strata = counts.select(F.countDistinct("stratum").alias("strata"))
-    tail = binomial_tail(F.col("k"), F.col("n"), risk / len(RULES))
-    passing = table.filter((F.col("caught") > 0) & (F.col("n") > 0)).withColumn("p", tail).crossJoin(strata).filter(F.col("p") <= delta / (F.col("strata") * len(RULES) * len(GRID)))
-    return passing.groupBy("stratum", "rule").agg(F.max(F.struct("caught", "cutoff")).alias("best")).select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
+    tested = table.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(F.lit(1.0))).crossJoin(strata)
+    sequence = Window.partitionBy("stratum").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    passed = tested.withColumn("highest", F.max("p").over(sequence)).filter((F.col("highest") <= delta / F.col("strata")) & (F.col("caught") > 0))
+    return passed.groupBy("stratum").agg(F.max(F.struct("caught", "level")).alias("best")).select("stratum", F.col("best.level").alias("level"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """features() of every document with ``kept``: false if a base rule or a certified cutoff of its stratum rejects it.
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """features() of every document with ``kept``: false if a base rule rejects it, or the certified level of its stratum.
 
     Null or empty text has no words and fails. Null lang is a stratum of its own. Without labels only the base rules work.
     Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
     feats = cut(features(docs))
-    limits = certified(feats, labels, risk, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    limits = limits.select("stratum", *(F.col(r).alias(f"max_{r}") for r in RULES))
-    out = feats.join(limits, "stratum", "left")
-    fine = ~F.col("base_failed")
-    for r in RULES:
-        above = F.ceil(F.col(r) / (GRID[1] - GRID[0]) - 1e-9) > F.round(F.col(f"max_{r}") / (GRID[1] - GRID[0]))
-        fine = fine & ~F.coalesce(above, F.lit(False))
-    return out.withColumn("kept", fine)
+    levels = F.broadcast(certified(feats, labels, risk, delta))  # one row a stratum
+    above = F.coalesce(F.col("worst") > F.col("level"), F.lit(False))
+    return feats.join(levels, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~above)
