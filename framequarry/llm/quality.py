@@ -13,7 +13,7 @@ from framequarry.llm.common import UPPER, SPACES, cut, let, null_key, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rules of the method and their scales: a document is rejected where a feature is above level * scale.
-RULES = {"symbol_ratio": 1.0, "mark_ratio": 1.0, "repeat_share": 1.0, "dup_line_share": 4.0, "upper_ratio": 4.0}
+RULES = {"symbol_ratio": 1.0, "mark_ratio": 1.0, "repeat_share": 4.0, "dup_line_share": 4.0, "upper_ratio": 4.0}
 #: Levels to test, loosest first, set before any label is seen.
 LEVELS = (0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.04, 0.03, 0.02, 0.01)
 
@@ -106,8 +106,8 @@ def certified(feats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: fl
     together: it passes if, were its rate of rejected good documents above ``risk``, so few of them would show with probability at
     most delta / number of strata (the exact binomial tail; Bonferroni over strata). Levels are tested from the loosest on
     and the first that fails ends the sequence, so a stratum's sequence needs no further correction: with probability 1 - delta every level
-    that passed, in whatever stratum, rejects at most ``risk`` of the good documents. Of those the loosest that catches as many bad documents as
-    any is used; one that catches none is not. Without a false rejection a level needs ln(delta / strata) / ln(1 - risk) good labels,
+    that passed, in whatever stratum, rejects at most ``risk`` of the good documents. Of those the one is used whose share of bad documents caught exceeds
+    its share of good ones lost by most, the loosest of equals; one that catches none is not. Without a false rejection a level needs ln(delta / strata) / ln(1 - risk) good labels,
     217 with four strata; a stratum with fewer keeps all that the base rules keep.
 
     Labels of null quality or without a document are left out; repeated labels of one document count once, the lowest.
@@ -119,12 +119,13 @@ def certified(feats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: fl
     counts = held.groupBy("stratum", cell.alias("cell")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     levels = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(level).alias("level")) for i, level in enumerate(LEVELS))))
     above = lambda c: F.sum(F.when(F.col("cell") + F.col("l.turn") >= len(LEVELS), F.col(c)).otherwise(0))
-    table = counts.select("*", levels.alias("l")).groupBy("stratum", "l.turn", "l.level").agg(F.sum("good").alias("n"), above("good").alias("k"), above("bad").alias("caught"))
+    table = counts.select("*", levels.alias("l")).groupBy("stratum", "l.turn", "l.level").agg(F.sum("good").alias("n"), F.sum("bad").alias("bad"), above("good").alias("k"), above("bad").alias("caught"))
     strata = counts.select(F.countDistinct("stratum").alias("strata"))
     tested = table.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(F.lit(1.0))).crossJoin(strata)
     sequence = Window.partitionBy("stratum").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     passed = tested.withColumn("highest", F.max("p").over(sequence)).filter((F.col("highest") <= delta / F.col("strata")) & (F.col("caught") > 0))
-    return passed.groupBy("stratum").agg(F.max(F.struct("caught", "level")).alias("best")).select("stratum", F.col("best.level").alias("level"))
+    gain = F.col("caught") / F.col("bad") - F.col("k") / F.col("n")
+    return passed.groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), "level")).alias("best")).select("stratum", F.col("best.level").alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
