@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framequarry.llm.common import small_batches
+from framequarry.llm.common import slices
 
 # HTML's element kinds.
 BLOCK_TAGS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -29,33 +29,42 @@ ROOT_TAGS = frozenset("html body main article".split())
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
+#: Elements that can hold an article as a whole.
+CONTAINER_TAGS = frozenset("article body center div form html main section table tbody td tr".split())
+
+
 @dataclass
 class Block:
-    """A run of text between block-level tags: its text, the characters of it in links, and where it stands."""
+    """A run of text between block-level tags: its text, the characters of it in links, its tag, the element around that, and what its surroundings say."""
 
     text: str
     linked: int
     parent: int
     tag: str
-    bad: bool
-    good: bool
-    named: tuple[int, ...] = ()
+    element: int
+    bad: bool = False
+    named: bool = False
+    good: bool = False
+    inside: bool = False
 
 
 class _Reader(HTMLParser):
-    """Cuts a page into blocks. Void, unclosed and stray tags are taken as browsers do: an end tag closes up to its start tag, a new <p> or <li> closes the open one."""
+    """Cuts a page into blocks. Void, unclosed and stray tags are taken as browsers do: an end tag closes up to its start tag, a new <p> or <li> closes the open one.
+
+    Elements are numbered as they open, 0 for the page, so a parent's number is below its children's. What is open is counted by
+    tag, so a page costs time in proportion to its length however deep its elements nest.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.open, self.pieces, self.linked, self.serial = [], [("", 0, False, False, False, ())], [], 0, 0
+        self.blocks, self.pieces, self.linked = [], [], 0
+        self.parent, self.tags, self.names = [0], [""], [""]
+        self.open, self.outer, self.count, self.hidden = [0], [0], Counter(), 0
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.pieces)).strip()
         if text:
-            node = next((x for x in reversed(self.open) if x[0] in BLOCK_TAGS or not x[0]), self.open[0])
-            outer = [x for x in self.open if x[0] in BLOCK_TAGS or not x[0]]
-            parent = outer[-2][1] if len(outer) > 1 else 0
-            self.blocks.append(Block(text, min(self.linked, len(text)), parent, node[0], self.open[-1][2], self.open[-1][3], self.open[-1][5]))
+            self.blocks.append(Block(text, min(self.linked, len(text)), self.outer[max(0, len(self.outer) - 2)], self.tags[self.outer[-1]], self.open[-1]))
         self.pieces, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -70,22 +79,30 @@ class _Reader(HTMLParser):
             self.pieces.append(" ")
         if tag in VOID_TAGS:
             return
-        self.serial += 1
-        names = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
-        above = self.open[-1]
-        bad = above[2] or tag in BAD_TAGS and not (tag == "header" and above[3])
-        named = above[5] + (self.serial,) if tag not in ROOT_TAGS and names and BAD_NAMES.search(_STATE_NAMES.sub("", names)) else above[5]
-        good = above[3] or tag in GOOD_TAGS or bool(names and GOOD_NAMES.search(names))
-        self.open.append((tag, self.serial, bad, good, above[4] or tag in HIDDEN_TAGS, named))
+        self.parent.append(self.open[-1])
+        self.tags.append(tag)
+        self.names.append(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v))
+        self.open.append(len(self.tags) - 1)
+        if tag in BLOCK_TAGS:
+            self.outer.append(self.open[-1])
+        self.count[tag] += 1
+        self.hidden += tag in HIDDEN_TAGS
 
     def leave(self, tag: str, until: frozenset):
         """Closes the innermost open ``tag`` with all inside it, unless an element of ``until`` stands between."""
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in until:
+            if (at := self.tags[self.open[i]]) == tag:
+                break
+            if at in until:
                 return
+        for element in self.open[i:]:
+            self.count[self.tags[element]] -= 1
+            self.hidden -= self.tags[element] in HIDDEN_TAGS
+            if self.tags[element] in BLOCK_TAGS:
+                self.outer.pop()
+        del self.open[i:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -98,51 +115,83 @@ class _Reader(HTMLParser):
         self.leave(tag, frozenset())
 
     def handle_data(self, data):
-        if not self.open[-1][4]:
+        if not self.hidden:
             self.pieces.append(data)
-            if any(x[0] == "a" for x in self.open):
+            if self.count["a"]:
                 self.linked += len(data.strip())
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    """The page's blocks; ``named`` holds the elements with boilerplate names around it, but for those that hold over half of the text outside boilerplate tags, and of the text in content elements if there are any."""
+    """The page's blocks with what their surroundings say.
+
+    Boilerplate tags and names hold for all inside an element, content tags and names where no boilerplate one stands. A
+    boilerplate name says nothing of an element that holds over half of the text outside boilerplate tags, and of the text
+    in content elements if there are any; nor does a form that holds over half of all text outside links. ``inside`` marks
+    the blocks of the innermost container that holds three fifths of the text that has no boilerplate tag, name or link.
+    """
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.flush()
-    plain = [b for b in reader.blocks if not b.bad]
-    best = [b for b in plain if b.good]
-
-    def most(blocks: list[Block]) -> set[int]:
-        held: Counter[int] = Counter()
-        for b in blocks:
-            held.update(dict.fromkeys(b.named, len(b.text)))
-        return {e for e, n in held.items() if 2 * n > sum(len(b.text) for b in blocks)}
-
-    spared = (most(plain) & most(best) if best else most(plain)) if len(plain) > 1 else set()
-    for b in reader.blocks:
-        b.named = tuple(e for e in b.named if e not in spared)
-    return reader.blocks
-
-
-#: What a boilerplate name costs: more than a block can earn alone, less than its neighbours together can outvote.
-NAMED = 9
+    blocks, parent, tags, names = reader.blocks, reader.parent, reader.tags, reader.names
+
+    def held(chosen, size) -> tuple[list[int], int]:
+        """The text that each element holds, and all of it."""
+        out = [0] * len(tags)
+        for b in chosen:
+            out[b.element] += size(b)
+        for e in range(len(tags) - 1, 0, -1):
+            out[parent[e]] += out[e]
+        return out, out[0]
+
+    unlinked, length = (lambda b: len(b.text) - b.linked), (lambda b: len(b.text))
+    text, whole = held(blocks, unlinked)
+    bad, good = [False] * len(tags), [False] * len(tags)
+    for e in range(1, len(tags)):
+        up, tag = parent[e], tags[e]
+        bad[e] = bad[up] or tag in BAD_TAGS and not (tag == "header" and good[up]) and not (tag == "form" and 2 * text[e] > whole)
+        good[e] = good[up] or tag in GOOD_TAGS or bool(names[e] and GOOD_NAMES.search(names[e]))
+    plain = [b for b in blocks if not bad[b.element]]
+    best = [b for b in plain if good[b.element]]
+    (most, of_most), (mine, of_mine) = held(plain, length), held(best, length)
+    named, inside = [False] * len(tags), [False] * len(tags)
+    for e in range(1, len(tags)):
+        telling = tags[e] not in ROOT_TAGS and names[e] and BAD_NAMES.search(_STATE_NAMES.sub("", names[e]))
+        spared = len(plain) > 1 and 2 * most[e] > of_most and (not best or 2 * mine[e] > of_mine)
+        named[e] = named[parent[e]] or bool(telling) and not spared
+    open_text, of_open = held((b for b in plain if not named[b.element]), unlinked)
+    box = max((e for e in range(len(tags)) if 5 * open_text[e] >= 3 * of_open and tags[e] in CONTAINER_TAGS), default=0)
+    inside[box] = True
+    for e in range(1, len(tags)):
+        inside[e] = inside[e] or inside[parent[e]]
+    for b in blocks:
+        b.bad, b.named, b.inside = bad[b.element], named[b.element], inside[b.element]
+        b.good = good[b.element] and not b.bad and not b.named
+    return blocks
+
+
+#: Weights of the classifier, in hundredths: what a boilerplate tag, a boilerplate name, a content element, the main container and a copyright mark say.
+TAGGED, NAMED, GOOD, INSIDE, MARKED = -600, -500, 300, 150, -200
+#: What the block's own tag says.
+TAG_WEIGHTS = {"p": 100, "blockquote": 100, "pre": 100, "h1": 50, "h2": 50, "h3": 50, "li": -50, "td": -50, "div": -50}
+_SENTENCE = re.compile(r"[.!?:;,\"”»](?:\s|$)")
+_COPYRIGHT = re.compile(r"^©|^\(c\) ?\d|all rights reserved", re.I)
 
 
 def costs(block: Block) -> tuple[int, int]:
-    """What it costs to call the block boilerplate and to call it content: a linear classifier over where and how it stands.
+    """What it costs to call the block boilerplate and to call it content: a linear classifier over the text and where it stands.
 
-    Integers, so that cuts are exact. A boilerplate tag outweighs all else, a boilerplate name what the block itself says; link density, length, sentence marks
-    and headline tags decide in the open.
+    Integers, so that cuts are exact. Tags and names around the block, its place in or out of the main container, link
+    density, length, sentence marks and its own tag all have bounded weights.
     """
     words = block.text.count(" ") + 1
-    score = -4 * (block.linked / max(1, len(block.text)))
-    score += 1.5 if words >= 15 else 0.5 if words >= 6 else -0.5
-    score += 1 if re.search(r"[.!?:;,\"”»](?:\s|$)", block.text) else -0.5
-    score += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 0.5, "h2": 0.5, "h3": 0.5, "li": -0.5, "td": -0.5}.get(block.tag, 0.0)
-    score += 4 if block.good else 0
-    score -= 20 if block.bad else NAMED if block.named else 0
-    return (round(100 * max(score, 0)), round(100 * max(-score, 0)))
+    score = -400 * block.linked // max(1, len(block.text)) + TAG_WEIGHTS.get(block.tag, 0)
+    score += 150 if words >= 15 else 50 if words >= 6 else -50
+    score += 100 if _SENTENCE.search(block.text) else -50
+    score += INSIDE if block.inside else -INSIDE
+    score += (GOOD if block.good else 0) + (MARKED if _COPYRIGHT.search(block.text) else 0)
+    score += TAGGED if block.bad else NAMED if block.named else 0
+    return max(score, 0), max(-score, 0)
 
 
 #: Capacities of the smoothness edges: neighbours in page order, and the next block below the same parent element.
@@ -259,5 +308,4 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html, or a page without content: text "". Character references are decoded, white space inside a block (no-break spaces included) is one
     space. Broken markup is read as far as it goes. Repeated rows give equal rows. Empty table: no rows. Other columns are ignored.
     """
-    small_batches(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda it: _extract(slices(it)), "page_id long, url string, text string, n_chars long")
