@@ -76,15 +76,15 @@ def aligned(doc: Column, item: Column, shift: Column, window: int) -> Column:
     return let(same, best)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, text_hash, item_id, doc_token, item_window, matched): documents that hold a passage of a benchmark item.
 
     A hit is a masked hash that document and item share. Around it the two token sequences are laid over one another; the
     pair counts if some window of ``window`` tokens (the whole item if shorter) agrees in at least ``share`` of them. The
     row shows the best alignment of the pair, the earliest of equals.
 
-    The seed table of the benchmark is broadcast only if it has at most ``broadcast_rows`` rows; beyond that the same
-    join shuffles. The masks come from the sizes of the benchmark's items and miss no allowed pattern, so every pair that counts is found; items of
+    The seed table of the benchmark is broadcast only if it has at most ``broadcast_bytes``; beyond that the same join shuffles.
+    Of a document only the stretch below an item goes on to be compared, so its length doesn't multiply with its hits. The masks come from the sizes of the benchmark's items and miss no allowed pattern, so every pair that counts is found; items of
     one to four tokens (at this share) must stand whole. Items without tokens match nothing.
     Null or empty texts match nothing. Documents are told apart by doc_id and text, so a repeated row is one document.
     Null doc_id is kept as null. Empty tables: no rows. Other columns are ignored.
@@ -98,16 +98,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share:
     sizes = sizes or {(0,): [1]}
     masks = sorted(sizes)
     masked = lambda df, how, *keys: df.select(*keys, F.explode(seeds(F.col("text"), masks, *how)).alias("s")).select(*keys, F.posexplode("s").alias("at", "seed")).filter(F.col("seed").isNotNull())
-    table = cut(masked(items, (window, sizes), "item_id").groupBy("seed", "item_id", "at").agg(F.count(F.lit(1)).alias("n")).select("seed", "item_id", F.col("at").alias("item_at")))
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        table = F.broadcast(table)
-    hits = masked(own, (), "doc_id", "text_hash").join(table, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    listed = items.withColumn("length", F.size(tokens(F.col("text"))))
+    table = cut(masked(listed, (window, sizes), "item_id", "length").groupBy("seed", "item_id", "length", "at").agg(F.count(F.lit(1)).alias("n")).select("seed", "item_id", "length", F.col("at").alias("item_at")))
+    hits = masked(own, (), "doc_id", "text_hash").join(small_side(table, broadcast_bytes), "seed").select("doc_id", "text_hash", "item_id", "length", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = cut(hits)
     texts = own.join(small_side(hits.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc"))
     h, t = hits.alias("h"), texts.alias("t")
-    pairs = h.join(t, (F.col("h.text_hash") == F.col("t.text_hash")) & F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))).select("h.*", "t.doc")
-    pairs = pairs.join(items.select("item_id", tokens(F.col("text")).alias("item")), pairs["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
-    scored = pairs.select("doc_id", "text_hash", "item_id", "shift", F.least(F.lit(window), F.size("item")).alias("item_window"), aligned(F.col("doc"), F.col("item"), F.col("shift"), window).alias("matched"))
+    # Of a document only the stretch that lies below the item goes on, so long documents with many hits stay cheap.
+    below = F.slice(F.col("t.doc"), F.greatest(F.col("h.shift"), F.lit(0)) + 1, F.greatest(F.col("h.length") + F.least(F.col("h.shift"), F.lit(0)), F.lit(0)))
+    pairs = h.join(t, (F.col("h.text_hash") == F.col("t.text_hash")) & F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))).select("h.*", below.alias("doc"))
+    laid = listed.select(F.col("item_id").alias("of_id"), F.col("length").alias("of_length"), tokens(F.col("text")).alias("item"))
+    pairs = pairs.join(laid, F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("length") == F.col("of_length")))
+    scored = pairs.select("doc_id", "text_hash", "item_id", "shift", F.least(F.lit(window), F.size("item")).alias("item_window"), aligned(F.col("doc"), F.col("item"), F.least(F.col("shift"), F.lit(0)), window).alias("matched"))
     found = scored.filter(F.col("matched") >= F.ceil(share * F.col("item_window") - 1e-9))
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.struct(-F.col("matched"), "shift", "item_window")).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", F.greatest(F.col("b.shift"), F.lit(0)).alias("doc_token"), F.col("b.item_window").alias("item_window"), (-F.col("b.col1")).alias("matched"))
