@@ -118,4 +118,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 16, share:
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that contaminated() doesn't name, all columns as they are."""
     bad = small_side(cut(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"]), "left_anti")

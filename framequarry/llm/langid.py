@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import cut, small_batches, small_side
+from framequarry.llm.common import cut, slices, small_side
 
-#: n-grams of 1 to 3 letters, with one blank for whatever separates words; n-grams a profile; characters hashed at a time.
+#: n-grams of 1 to 3 letters, with one blank for whatever separates words; n-grams a profile; characters counted at a time.
 PROFILE, _CHUNK = 400, 1 << 20
 
 
@@ -25,19 +25,21 @@ def _letters() -> np.ndarray:
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of a text's n-grams; 21 bits a character, shorter n-grams in the low bits; no n-gram is blank alone."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, counts, carry = np.empty(0, np.int64), np.empty(0, np.int64), np.array([32])
     for at in range(0, len(points), _CHUNK):
-        c = _letters()[points[at : at + _CHUNK]]
-        c = np.concatenate(([32], c, [32]))
-        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+        c = np.concatenate((carry, _letters()[points[at : at + _CHUNK]], [32] if at + _CHUNK >= len(points) else []))
+        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))].astype(np.int64)
+        # n-grams that end past the carry: the last two characters of the piece before, so a seam changes nothing.
+        done = len(carry)
         pairs = (c[:-1] << 21) | c[1:]
-        grams = np.concatenate((c[c != 32], pairs, (pairs[:-1] << 21) | c[2:]))
-        k, n = np.unique(grams, return_counts=True)
+        triples = (pairs[:-1] << 21) | c[2:]
+        k, n = np.unique(np.concatenate((c[done:][c[done:] != 32], pairs[done - 1 :], triples[max(0, done - 2) :])), return_counts=True)
         if at:
             keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
             counts = np.bincount(where, np.concatenate((counts, n))).astype(np.int64)
         else:
             keys, counts = k, n
+        carry = c[-2:]
     return keys, counts
 
 
@@ -69,12 +71,11 @@ def learn(docs: DataFrame, sample: int = 2000) -> dict[str, np.ndarray]:
     time and doesn't grow with the input; the whole text of a sampled row counts. What comes back is PROFILE numbers a language.
     Rows with null text or lang teach nothing.
     """
-    small_batches(docs.sparkSession)
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     # One row a language: small_side() sends it to the texts, which are filtered where they are read.
     rates = small_side(cut(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))))
     taken = rows.join(rates, "lang").filter(hashed_share(F.coalesce(F.col("doc_id"), F.lit(0))) < F.col("rate")).select("lang", "text")
-    grams = taken.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = taken.mapInArrow(lambda it: _count(slices(it)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
     out: dict[str, list[int]] = {}
     for r in sorted(best.collect(), key=lambda r: (r["lang"], r["rank"])):
@@ -114,9 +115,9 @@ def identify(docs: DataFrame, held_out: Column, sample: int = 2000) -> DataFrame
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``, with profiles learnt from the rows that aren't held out.
 
     lang_pred depends on the whole text alone. Null, empty or letterless texts: 'und', score 0; so are all texts if no row can
-    teach. Texts over 2^20 characters are counted in pieces of that length, without the n-grams across their seams. Equal distances go to the first language in code point
+    teach. Very long texts are counted in pieces; what is counted doesn't depend on them. Equal distances go to the first language in code point
     order. Repeated rows are judged alike. Empty table: no rows. Other columns are ignored.
     """
     own = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     profiles = Profiles(learn(own.filter(~F.col("held_out")), sample))
-    return own.select("doc_id", "text", "held_out").mapInArrow(lambda it: _predict(it, profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.select("doc_id", "text", "held_out").mapInArrow(lambda it: _predict(slices(it), profiles), "doc_id long, held_out boolean, lang_pred string, score double")

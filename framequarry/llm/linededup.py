@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import SPACES, cut, small_batches, without
+from framequarry.llm.common import SPACES, cut, slices, without
 from framequarry.llm.shingles import U, scramble
 
 _BLANK = SPACES.encode()
@@ -171,7 +171,7 @@ def _merge(batches: Iterator[pa.RecordBatch], min_chars: int, names: list[str])
 
 def counted_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, n): hashes of all line keys, and in how many rows of docs each is found."""
-    each = docs.select("text").mapInArrow(lambda it: _lines(it, min_chars), "h1 long, h2 long")
+    each = docs.select("text").mapInArrow(lambda it: _lines(slices(it), min_chars), "h1 long, h2 long")
     return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,7 +191,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_l
     named n_lines or n_dropped are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = without(docs, "n_lines", "n_dropped")
     names = [f.name for f in docs.schema]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
@@ -202,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_l
     index = cut(lines.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda rows: _build(rows, min_docs), "shard long, blob binary"))
     if (index.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
         blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in index.collect()})
-        return docs.mapInArrow(lambda it: _probe_all(it, blobs, shards, min_docs, min_chars, names), out)
+        return docs.mapInArrow(lambda it: _probe_all(slices(it), blobs, shards, min_docs, min_chars, names), out)
     return _routed(docs, index, shards, max(1, -(-found // (4 * shards * shard_lines))), min_docs, min_chars, names, out)
 
 
@@ -210,14 +209,14 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, parts: int, min_docs
     """What dedup_lines() gives where the index is too large for every executor: ``parts`` groups of probes a shard, about ``slot_docs`` documents a slot."""
     slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // slot_docs))
     slotted = docs.select(F.pmod(F.xxhash64("text", *(c for c in names if c == "doc_id")), F.lit(slots)).alias("slot"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
-    probes = slotted.select("slot", F.col("doc.text").alias("text")).mapInArrow(lambda it: _probes(it, shards, min_chars), "shard long, slot long, h1 long, h2 long")
+    probes = slotted.select("slot", F.col("doc.text").alias("text")).mapInArrow(lambda it: _probes(slices(it), shards, min_chars), "shard long, slot long, h1 long, h2 long")
     probes = probes.select("shard", F.pmod("slot", F.lit(parts)).alias("part"), "slot", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
     none = F.lit(None).cast("long")
     copies = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), none.alias("slot"), none.alias("h1"), none.alias("h2"), "blob")
     asked = probes.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("blob").isNull())
     answers = asked.mapInArrow(lambda it: _answers(it, min_docs), "slot long, h1 long, h2 long")
     both = answers.select("slot", "h1", "h2", F.lit(None).cast(slotted.schema["doc"].dataType).alias("doc")).unionByName(slotted.select("slot", none.alias("h1"), none.alias("h2"), "doc"))
-    return both.repartition("slot").sortWithinPartitions("slot", F.col("h1").isNull()).mapInArrow(lambda it: _merge(it, min_chars, names), out)
+    return both.repartition("slot").sortWithinPartitions("slot", F.col("h1").isNull()).mapInArrow(lambda it: _merge(slices(it), min_chars, names), out)
 
 
 LINES_SQL = r"""

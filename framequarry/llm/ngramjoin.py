@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import cut, small_batches, small_side
+from framequarry.llm.common import cut, slices, small_side
 from framequarry.llm.shingles import U, digest, scramble, shingle_set
 
 BAND_GROWTH = 1.5
@@ -296,13 +296,12 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, block: int = BLOCK_
     ignored. Shingles, parts and classes are compared by 64-bit hashes. With ``keys`` two columns more: text_hash as row_hash() gives it, and
     component, which names the component also where doc_ids are null or repeated (null for n_shingles 0).
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").alias("key_id"), row_hash(docs).alias("text_hash"), "text")
-    rows = cut(source.mapInArrow(lambda it: _sizes(it, percent, width), "key_id long, text_hash long, n long, cls long, need0 long, need1 long"))
+    rows = cut(source.mapInArrow(lambda it: _sizes(slices(it), percent, width), "key_id long, text_hash long, n long, cls long, need0 long, need1 long"))
     some, none = rows.filter("n > 0"), rows.filter("n = 0")
     classes = cut(some.groupBy("cls").agg(F.min("key_id").alias("least"), F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n", "need0", "need1"))))
 
-    tiles = source.select("text").mapInArrow(lambda it: _tiles(it, percent, width), "tile long, cls long")
+    tiles = source.select("text").mapInArrow(lambda it: _tiles(slices(it), percent, width), "tile long, cls long")
     together = lambda df: df.repartition("tile").sortWithinPartitions("tile", "cls")
     members = cut(together(tiles).mapInArrow(_shared_tiles, "tile long, cls long, lead long").select("tile", "cls"))
     sized = members.join(members.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
@@ -316,7 +315,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, block: int = BLOCK_
     count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
     placed = placed.join(placed.groupBy("cell").agg(count.alias("blocks")), "cell").select("text_hash", "cls", "cell", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
     placed = cut(placed)
-    sets = source.join(small_side(placed), "text_hash").select("text", "cls", "cell", "blocks", "block").mapInArrow(lambda it: _arrays(it, width), "cls long, cell long, blocks int, block int, set binary")
+    sets = source.join(small_side(placed), "text_hash").select("text", "cls", "cell", "blocks", "block").mapInArrow(lambda it: _arrays(slices(it), width), "cls long, cell long, blocks int, block int, set binary")
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "set")
     spread = spread.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")

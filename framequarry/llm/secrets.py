@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm.common import small_batches
+from framequarry.llm.common import slices
 
 ANY = None  # a trigram query that every text satisfies
 
@@ -43,14 +43,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # runs of [0-9a-f]+ of 16 or more: shorter runs never match
 )
-# Public formats of keys and tokens.
+# Public formats of keys and tokens. A token of the form jwt starts its run of characters, so a run is read once.
 MORE = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("basic_url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
 )
 
@@ -187,13 +187,12 @@ def _scan(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterato
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """(doc_id, found array<struct<kind, start, stop>>) of every row: spans in code points by start, then in the rules' order.
 
-    Each Arrow batch of whole texts is a block with an inverted trigram index of its own; a rule's query intersects and unites postings and only
+    Each 256 whole texts are a block with an inverted trigram index of its own; a rule's query intersects and unites postings and only
     the texts left are matched. A rule whose regex has no mandatory trigram (hex) matches every text. A text of the block is
     always in memory whole; nothing is shuffled, so lost executors cost their blocks alone.
     Null or empty text: nothing found. Repeated rows are scanned alike. Empty table: no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, rules), "doc_id long, found array<struct<kind: string, start: long, stop: long>>")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(slices(it), rules), "doc_id long, found array<struct<kind: string, start: long, stop: long>>")
 
 
 def span_text(found: Column) -> Column:
