@@ -58,7 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its measured bytes (8 a number, the lengths of strings) are at most ``most``; otherwise as it is, for a shuffled join."""
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    size = sum(wide, F.lit(8 * len(df.columns)))
+    """df marked for broadcast if its measured bytes are at most ``most``; otherwise as it is, for a shuffled join.
+
+    A row of a broadcast table counts 32 bytes and 8 a number, the lengths of strings, and of arrays 8 bytes for each number in them.
+    """
+    def leaves(kind: T.DataType) -> int:
+        return sum(leaves(f.dataType) for f in kind) if isinstance(kind, T.StructType) else 1
+
+    size = F.lit(32 + 8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + F.coalesce(F.size(f.name), F.lit(0)) * (8 * leaves(f.dataType.elementType) + 8)
     return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
