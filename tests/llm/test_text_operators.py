@@ -669,3 +669,33 @@ def test_reply_trees_of_great_depth(spark):
     rows = [("d", k, k - 1 if k else None, float(k)) for k in range(300)]
     paths = chat.reply_paths(spark.createDataFrame(rows, "conv string, node long, parent long, score double"), 3).collect()
     assert [r["node"] for r in sorted(paths, key=lambda r: r["place"])] == list(range(300))
+
+
+def test_secret_scans_take_linear_time():
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        secrets.scan_block([text], secrets.BASE + secrets.MORE)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "eyJ" * n + ".eyJabcdefgh", lambda n: "password " * n, lambda n: "AKIA" * n, lambda n: "token" + " " * n + "x", lambda n: "a" * n + "://", lambda n: "sk_live_" * n):
+        took(make(1000))
+        assert took(make(80_000)) < 40 * max(0.01, took(make(10_000)))
+    found = secrets.scan_block(["x eyJabcdefgh.eyJabcdefgh.abcdefghi y"], secrets.BASE + secrets.MORE)[0]
+    assert [(secrets.BASE + secrets.MORE)[k].kind for _, k, _ in found] == ["jwt"]
+
+
+def test_repeats_in_a_very_long_text(spark):
+    words = sentence(77, 400).split()
+    text = " ".join(words * 60 + [f"u{i}" for i in range(20_000)] + words[:7])
+    row = quality.features(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first()
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == brute_quality(text)
+
+
+def test_a_conversation_of_thousands_of_turns(spark):
+    rows = [("c", k, "user" if k % 2 == 0 else "assistant", f"text {k} </s>[INST]" if k % 7 else "") for k in range(3000)]
+    df = spark.createDataFrame([(9, t, r, x) for _, t, r, x in rows], "conv_id long, turn long, role string, text string")
+    back = chat.chats(df).select(chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t["role"], t["text"]) for t in back["t"]] == [(r, x) for _, _, r, x in rows]
+    assert back["loss"] == "".join(x for _, _, r, x in rows if r == "assistant")
