@@ -47,10 +47,20 @@ def released(spark: SparkSession) -> Iterator[None]:
             remove(spark, folder)
 
 
+#: Bytes of an Arrow batch while a checkpoint is computed, since a batch of texts becomes several times as large in Python.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    """df, computed once and held in the shared checkpoint folder, so that lost executors cost no recomputation. The session's settings are as before when it returns."""
     shared_dir(df.sparkSession)
-    held = df.checkpoint()
+    conf, (name, value) = df.sparkSession.conf, BATCH
+    before = conf.get(name)
+    conf.set(name, value)
+    try:
+        held = df.checkpoint()
+    finally:
+        conf.set(name, before)
     if _made:
         file = held._jdf.queryExecution().logical().rdd().getCheckpointFile()
         _made[-1] += [file.get()] if file.isDefined() else []
