@@ -48,6 +48,11 @@ def ranked_doc(rank: str) -> Column:
     return F.when(found < LAST, found)
 
 
+def _side(df: DataFrame, numbers: int = 4 << 20) -> DataFrame:
+    """df, of numbers alone, for a broadcast if it holds at most about ``numbers`` of them; otherwise as it is."""
+    return small_side(df, (32 + 8 * len(df.columns)) * (numbers // len(df.columns)))
+
+
 def units(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bool, bytes]]:
     """(start, stop, words, words before it, seen before in this text, digest) of each unit of at least ``min_words`` words, offsets in code points.
 
@@ -203,16 +208,16 @@ def repeated_windows(own: DataFrame, size: int) -> DataFrame:
     each = own.mapInArrow(lambda it: _anchors(slices(it), size), "rank decimal(38,0), anchor long, again boolean")
     known = each.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("again").cast("int")).alias("twice"))
     known = cut(known.filter("low < high OR twice = 1").select("anchor"))
-    segments = cut(own.mapInArrow(lambda it: _segments(slices(it), size), _SEGMENT_COLUMNS).join(small_side(known), "anchor").withColumn("rank", rank))
+    segments = cut(own.mapInArrow(lambda it: _segments(slices(it), size), _SEGMENT_COLUMNS).join(_side(known), "anchor").withColumn("rank", rank))
     firsts = cut(segments.groupBy("anchor", "seg").agg(F.min("rank").alias("first"), F.max("rank").alias("high")))
-    later = segments.join(small_side(firsts.filter("first < high").select("anchor", "seg", "first")), ["anchor", "seg"], "left").withColumn("first", F.coalesce("first", "rank"))
+    later = segments.join(_side(firsts.filter("first < high").select("anchor", "seg", "first")), ["anchor", "seg"], "left").withColumn("first", F.coalesce("first", "rank"))
     whole = later.filter("rank > first").select(*key, F.get("starts", F.lit(0)).cast("long").alias("start"), F.element_at("stops", -1).cast("long").alias("stop"), "word", (F.size("wins") + size - 1).cast("long").alias("n_words"), "first")
 
     unlike = cut(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    ends = later.filter("rank = first").join(small_side(unlike.withColumn("mixed", F.lit(True))), "anchor", "left").filter("mixed OR array_contains(again, true)")
+    ends = later.filter("rank = first").join(_side(unlike.withColumn("mixed", F.lit(True))), "anchor", "left").filter("mixed OR array_contains(again, true)")
     ends = cut(ends.select(*key, "rank", "word", F.posexplode(F.arrays_zip("wins", "again", "starts", "stops")).alias("i", "x")).select(*key, "rank", (F.col("word") + F.col("i")).alias("word"), F.lit(size).cast("long").alias("n_words"), "x.*"))
     earlier = cut(ends.groupBy("wins").agg(F.min("rank").alias("first"), F.max("rank").alias("high")).filter("first < high").select("wins", "first"))
-    single = ends.join(small_side(earlier), "wins", "left").filter("again OR rank > first")
+    single = ends.join(_side(earlier), "wins", "left").filter("again OR rank > first")
     single = single.select(*key, F.col("starts").cast("long").alias("start"), F.col("stops").cast("long").alias("stop"), "word", "n_words", F.least("rank", "first").alias("first"))
     return whole.unionByName(single)
 
@@ -237,7 +242,7 @@ def repeated_spans(docs: DataFrame, min_unit: int = 4, min_run: int = 30) -> Dat
     each = own.mapInArrow(lambda it: _units(slices(it), min_unit, True), "rank decimal(38,0), again boolean, h1 long, h2 long")
     firsts = each.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("other"), F.max(F.col("again").cast("int")).alias("again_any"))
     firsts = cut(firsts.filter("first < other OR again_any = 1").select("h1", "h2", "first"))
-    spread = own.mapInArrow(lambda it: _units(slices(it), min_unit, False), _UNIT_COLUMNS).join(small_side(firsts), ["h1", "h2"])
+    spread = own.mapInArrow(lambda it: _units(slices(it), min_unit, False), _UNIT_COLUMNS).join(_side(firsts), ["h1", "h2"])
     repeats = spread.filter(F.col("again") | (rank > F.col("first"))).dropDuplicates(["doc_id", "text_hash", "unit"])
     document = Window.partitionBy("doc_id", "text_hash")
     runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(document.orderBy("unit")))
