@@ -361,6 +361,30 @@ def test_candidates_agree_with_all_pairs(spark):
     assert set(got) == {1, 2}
 
 
+def event_case(spark):
+    """Frames of four identifiers with equal times and gaps, events on and off frames, one of them alone; and all windows by brute force."""
+    rng = np.random.default_rng(12)
+    times = sorted(int(t) for t in rng.integers(0, 3000, 300))
+    df = make(spark, [(t, int(rng.integers(1, 5)), [int(x) for x in rng.integers(0, 256, rng.integers(0, 5))]) for t in times] + [(90_000, 3, [1])])
+    frames = [(r["ts_us"], r["frame_id"], r["can_id"], list(r["data"])) for r in df.collect()]
+    events = [(i, i % 3 == 0, at) for i, at in enumerate([*times[::9], *(int(t) for t in rng.integers(-300, 3300, 30)), 90_000])]
+    inside = {(e, label): sorted(f for f in frames if at - 200 <= f[0] <= at + 60) for e, label, at in events}
+    return df, spark.createDataFrame(events, "event_id long, label boolean, at_us long"), {k: v for k, v in inside.items() if len(v) >= 3}
+
+
+def above_join(df):
+    """What the plan does with the rows of the join on buckets of time."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan[: plan.index("[_b#")] if "[_b#" in plan else None
+
+
+def test_event_frames_without_a_shuffle_of_pairs(spark):
+    df, events, inside = event_case(spark)
+    got = learn.event_frames(df, events, 200, 60).select("event_id", "label", "frame_id")
+    assert sorted(map(tuple, got.collect())) == sorted((e, label, f[1]) for (e, label), fs in inside.items() for f in fs) and 40 < len(inside) < events.count()
+    assert "Window" not in above_join(got) and "Exchange" not in above_join(got)
+
+
 def test_density_clusters_of_all_windows(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(0, 0.3, (40, 4)), rng.normal(5, 0.3, (30, 4)), rng.uniform(-9, 9, (12, 4)), np.linspace((0, 0, 0, 0), (3, 0, 0, 0), 15)])
