@@ -385,6 +385,23 @@ def test_event_frames_without_a_shuffle_of_pairs(spark):
     assert "Window" not in above_join(got) and "Exchange" not in above_join(got)
 
 
+def test_event_frames_in_runs(spark, monkeypatch):
+    """In a file ids take a fraction of a byte if an event's rows come in runs; frame by frame they are no runs at all. As on large tables nothing is broadcast."""
+    monkeypatch.setattr(learn, "BLOCK", 32, raising=False)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, -1)
+    times = np.random.default_rng(13).integers(0, 1000, 2000)
+    df = make(spark, [(int(t), 1, [0]) for t in times])
+    events = [(i, i % 2 == 0, 25 * i) for i in range(40)]
+    got = learn.event_frames(df, spark.createDataFrame(events, "event_id long, label boolean, at_us long"), 300, 100).select("event_id", "frame_id").collect()
+    spark.conf.set(conf, before)
+    frames = [(r["ts_us"], r["frame_id"]) for r in df.collect()]
+    assert sorted(map(tuple, got)) == sorted((e, f) for e, _, at in events for t, f in frames if at - 300 <= t <= at + 100)
+    runs = 1 + sum(a["event_id"] != b["event_id"] for a, b in zip(got, got[1:]))
+    assert 16 * runs < len(got)
+
+
 def test_event_features_without_pairs(spark):
     df, events, inside = event_case(spark)
     features = learn.event_features(df, events, 200, 60)
